@@ -15,7 +15,7 @@ src AS (
          t - 2.0 * coalesce(sum(source_size) OVER (ORDER BY 2.0 * source_size / w, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over,
          sum(w) OVER (ORDER BY 2.0 * source_size / w DESC, pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open_w
   FROM weighted, total
-), level AS (SELECT min(left_over / open_w) FILTER (left_over / open_w <= full_at) AS unit FROM ranked),
+), level AS (SELECT arg_min(left_over / open_w, full_at) FILTER (left_over / open_w <= full_at) AS unit FROM ranked),
 targets AS (
   SELECT source, source_size, CASE WHEN unit IS NULL OR unit * w > 2.0 * source_size THEN 2.0 * source_size ELSE unit * w END AS target FROM weighted, level
 ), planned AS (
