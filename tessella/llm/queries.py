@@ -23,6 +23,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.url_filter(table(spark, sf_dir, "pages", "page_id", "url"), weights).select("page_id", "host", "path", "rule", "verdict", "p_unwanted")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import language_id as op
+
+    documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = op.predict(documents, op.train(documents))
+    return found.select("doc_id", (op.fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import mixing as op
 
@@ -42,9 +50,20 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.compare_with_next(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import toxicity as op
+
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = op.train(documents, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    scored = op.score(documents, model)
+    return scored.select("doc_id", (op.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", op.predicted(F.col("score")).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op5_language_id": op5_language_id,
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
     "op9_fingerprints": op9_fingerprints,
+    "op10_toxicity": op10_toxicity,
 }
