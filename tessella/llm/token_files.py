@@ -111,7 +111,7 @@ class TokenFile:
 
 
 @lru_cache(maxsize=2)
-def words_encoder(tokenizer_file: str, most: int = 400_000) -> Callable[[str], bytes]:
+def words_encoder(tokenizer_file: str, most: int = 800_000) -> Callable[[str], bytes]:
     """text -> ids as little-endian uint32, equal to the tokenizers library's encode(text, add_special_tokens=False).
 
     The vocabulary splits at white space and between runs of letters, digits and signs, so the library's BPE model is asked
@@ -124,6 +124,7 @@ def words_encoder(tokenizer_file: str, most: int = 400_000) -> Callable[[str], b
     tok = Tokenizer.from_file(tokenizer_file)
     tok.encode_special_tokens = True
     model, to_bytes = tok.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    byte_signs = {c: to_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x180)}
     specials = [t.content.lower() for t in tok.get_added_tokens_decoder().values()]
     # Letters, digits and white space below U+0180 are the same for Python and the library.
     # Number signs other than 0-9 and the two letter signs among them are left to the library as well.
@@ -135,15 +136,19 @@ def words_encoder(tokenizer_file: str, most: int = 400_000) -> Callable[[str], b
     def piece(text: str) -> bytes:
         found = of_piece.get(text)
         if found is None:
-            mapped = text if text.isascii() else to_bytes.pre_tokenize_str(text)[0][0]
-            found = np.array([t.id for t in model.tokenize(mapped)], dtype="<u4").tobytes()
+            found = b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(text if text.isascii() else text.translate(byte_signs))])
             if len(of_piece) >= most:
                 of_piece.clear()
             of_piece[text] = found
         return found
 
     def word(text: str) -> bytes:
-        found = b"".join([piece(p) for p in pieces.findall(text)])
+        if text.isalpha():
+            return piece(text)
+        if text[-1] in ".," and text[:-1].isalpha():
+            found = piece(text[:-1]) + piece(text[-1])
+        else:
+            found = b"".join([piece(p) for p in pieces.findall(text)])
         if len(of_word) >= most:
             of_word.clear()
         if len(text) <= 64:
@@ -152,9 +157,9 @@ def words_encoder(tokenizer_file: str, most: int = 400_000) -> Callable[[str], b
 
     def encode(text: str) -> bytes:
         if not odd.search(text) and not ("<|" in text and any(s in text.lower() for s in specials)):
-            get = of_word.get
+            get, get_piece = of_word.get, of_piece.get
             text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
-            return b"".join([get(w) or word(w) for w in text.split()])
+            return b"".join([get_piece(w) or get(w) or word(w) for w in text.split()])
         return np.array(tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     return encode
