@@ -23,6 +23,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.url_filter(table(spark, sf_dir, "pages", "page_id", "url"), weights).select("page_id", "host", "path", "rule", "verdict", "p_unwanted")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import piece_bpe as op
+
+    return op.token_digests(table(spark, sf_dir, "documents", "doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import language_id as op
 
@@ -61,6 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_language_id": op5_language_id,
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
