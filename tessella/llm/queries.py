@@ -23,6 +23,13 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.url_filter(table(spark, sf_dir, "pages", "page_id", "url"), weights).select("page_id", "host", "path", "rule", "verdict", "p_unwanted")
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import personal_data as op
+
+    found = op.find(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import piece_bpe as op
 
@@ -67,6 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_personal_data": op2_personal_data,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_language_id": op5_language_id,
     "op7_mixing": op7_mixing,
