@@ -44,6 +44,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (op.fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import nearest as op
+
+    return op.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import mixing as op
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_personal_data": op2_personal_data,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_language_id": op5_language_id,
+    "op6_nearest": op6_nearest,
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
     "op9_fingerprints": op9_fingerprints,
