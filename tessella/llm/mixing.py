@@ -94,6 +94,15 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return spark.createDataFrame([(s, low) for s, (low, _) in at.items()], "source string, bound long")
 
 
+def mixing_plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """_source, source_size, target, _copies (of every document) and _bound (below it one more): one row per source."""
+    targets = source_targets(sized, weights, share, cap)
+    bounds = thresholds(sized, targets)
+    return targets.join(bounds, targets["source"].eqNullSafe(bounds["source"]), "left").select(
+        targets["source"].alias("_source"), "source_size", "target", F.col("copies").alias("_copies"), F.coalesce("bound", F.lit(0)).alias("_bound")
+    )
+
+
 def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """Add source_size, target and taken to rows that have source, size and h.
 
@@ -101,15 +110,19 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     Rows of one hash (repeated ids) are kept or left together. An empty table gives an empty result.
     """
     sized = sized.drop("source_size", "target", "taken")
-    targets = source_targets(sized, weights, share, cap)
-    bounds = thresholds(sized, targets)
-    plan = targets.join(bounds, targets["source"].eqNullSafe(bounds["source"]), "left").select(
-        targets["source"].alias("_source"), "source_size", "target", "copies", F.coalesce("bound", F.lit(0)).alias("bound")
-    )
+    plan = mixing_plan(sized, weights, share, cap)
     # One row per source: its size does not grow with the documents.
     joined = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["_source"]), "left")
-    copies = F.col("copies") + F.when(F.col("h") < F.col("bound"), 1).otherwise(0)
-    return joined.withColumn("taken", (F.col("size") * copies).cast("long")).drop("_source", "copies", "bound")
+    copies = F.col("_copies") + F.when(F.col("h") < F.col("_bound"), 1).otherwise(0)
+    return joined.withColumn("taken", (F.col("size") * copies).cast("long")).drop("_source", "_copies", "_bound")
+
+
+def mixed_documents(documents: DataFrame, size: Column) -> DataFrame:
+    """The documents as often as the mix takes them: left out, once or more. Columns and rows are otherwise as they were."""
+    plan = mixing_plan(sized_documents(documents, size)).drop("source_size", "target")
+    joined = documents.join(F.broadcast(plan), documents["source"].eqNullSafe(plan["_source"]), "left")
+    copies = F.col("_copies") + F.when(id_hash(F.col("doc_id")) < F.col("_bound"), 1).otherwise(0)
+    return joined.withColumn("_take", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*documents.columns)
 
 
 def sized_documents(documents: DataFrame, size: Column) -> DataFrame:

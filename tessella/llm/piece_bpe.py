@@ -229,17 +229,22 @@ def token_digests(documents: DataFrame, model_file: str, doc_id: str = "doc_id",
 
 
 def token_ids(documents: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, token_ids (with the end id) and n_tokens of every row."""
+    """doc_id, token_ids (with the end id), n_tokens and round_trip (decoding gives the text again, space marks as spaces) of every row.
+
+    Null text is empty. Extra columns play no part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_file)
         for batch in batches:
             for part in slices(batch, text, BATCH_BYTES):
-                ids = encode_batch(model, texts_of(part, text))
-                yield pa.RecordBatch.from_arrays([part.column(doc_id), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64())], ["doc_id", "token_ids", "n_tokens"])
+                texts = texts_of(part, text)
+                ids = encode_batch(model, texts)
+                same = [model.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(doc_id), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "token_ids", "n_tokens", "round_trip"])
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    return documents.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, token_ids array<int>, n_tokens long")
+    return documents.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, token_ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decoded(tokens: DataFrame, model_file: str, ids: str = "token_ids", name: str = "text") -> DataFrame:
