@@ -58,23 +58,17 @@ class Model:
     weights: dict[int, float]
     _known: dict[str, float] = field(default_factory=dict, repr=False)
 
-    def _look_up(self, token: str) -> float:
-        found = float(sum(self.weights.get(f, 0.0) for f in word_features(token)))
-        if len(self._known) >= 400_000:
-            self._known.clear()
-        if len(token) <= 64:
-            self._known[token] = found
-        return found
-
     def score(self, text: str | None) -> float:
-        tokens, known, total = (text or "").lower().split(), self._known, 0.0
-        for w in map(known.get, tokens):
-            if w is None:
-                # Some token is new: look the text's new tokens up, then sum again.
-                fresh = {t: self._look_up(t) for t in set(tokens) if t not in known}
-                total = sum(fresh[t] if t in fresh else known[t] for t in tokens) if len(known) >= len(fresh) else sum(map(self._look_up, tokens))
-                break
-            total += w
+        tokens, known = (text or "").lower().split(), self._known
+        if len(known) > 400_000:
+            known.clear()
+        fresh = set(tokens) - known.keys()
+        for token in fresh:
+            known[token] = float(sum(self.weights.get(f, 0.0) for f in word_features(token)))
+        total = sum(map(known.__getitem__, tokens))
+        for token in fresh:
+            if len(token) > 64:
+                del known[token]
         return float(1 / (1 + np.exp(-np.clip(self.bias + SCALE * total / max(1, len(tokens)), -30, 30))))
 
 
