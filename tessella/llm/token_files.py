@@ -199,8 +199,9 @@ def write_files(documents: DataFrame, encoder: Callable[[], Callable[[str], byte
         yield pa.RecordBatch.from_pydict({"file": [f"{bucket:08d}.tdac"], "bucket": [bucket], "documents": [len(keys)], "tokens": [int(offsets[-1])]}, schema=pa.schema([("file", pa.string()), ("bucket", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
     ordered = dealt.repartitionById(n, F.col("_bucket")).sortWithinPartitions("_bucket", F.col(key).asc_nulls_last(), text)
-    made = ordered.mapInArrow(put, "file string, bucket int, documents long, tokens long").orderBy("bucket").collect()
-    return documents.sparkSession.createDataFrame(made, "file string, bucket int, documents long, tokens long")
+    made = ordered.mapInArrow(put, "file string, bucket int, documents long, tokens long").collect()
+    # Sorted here: to order the frame would run the encoding twice, once to sample the ranges.
+    return documents.sparkSession.createDataFrame(sorted(made, key=lambda r: r.bucket), "file string, bucket int, documents long, tokens long")
 
 
 def read_files(spark, path: str, manifest: DataFrame) -> DataFrame:
