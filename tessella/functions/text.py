@@ -74,8 +74,8 @@ def format_raw(value: Column, thousands: bool = False, parens: bool = False, foo
 
 def extract_json(text: Column) -> Column:
     """JSON object in a text: the whole text, else the first fenced block, else from the first brace to the last; null if none parses."""
-    whole = F.trim(text)
-    fenced = F.trim(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1))
+    whole = F.regexp_replace(text, r"^\s+|\s+$", "")
+    fenced = F.regexp_replace(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1), r"\s+$", "")
     braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     valid = lambda c: F.when(c.rlike(r"(?s)^\{.*\}$") & F.try_parse_json(c).isNotNull(), c)
     return F.coalesce(valid(whole), valid(fenced), valid(braces))

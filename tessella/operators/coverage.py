@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.durable import durable
+
 
 def coverage(cells: DataFrame, regions: DataFrame) -> DataFrame:
     """sheet, total, covered, share. cells: sheet, row, col (not empty); regions: sheet, min_row, min_col, max_row, max_col.
@@ -32,15 +34,16 @@ def pieces(cells: DataFrame, rounds: int = 64) -> DataFrame:
     """
     w = Window.partitionBy("sheet", "row").orderBy("col")
     runs = cells.select("sheet", "row", "col").distinct().withColumn("_g", F.col("col") - F.row_number().over(w)).groupBy("sheet", "row", "_g").agg(F.min("col").alias("a"), F.max("col").alias("b"))
-    runs = runs.select("sheet", "row", "a", "b", F.struct("row", "a").alias("id")).persist()
+    runs = runs.select("sheet", "row", "a", "b", F.struct("row", "a").alias("id"))
+    runs = durable(runs, "runs")
     up = runs.select("sheet", (F.col("row") + 1).alias("row"), F.col("a").alias("ua"), F.col("b").alias("ub"), F.col("id").alias("uid"))
     touch = runs.join(up, ["sheet", "row"]).where((F.col("a") <= F.col("ub") + 1) & (F.col("ua") <= F.col("b") + 1)).select("sheet", "id", "uid")
-    edges = touch.union(touch.select("sheet", F.col("uid"), F.col("id"))).persist()
+    edges = durable(touch.union(touch.select("sheet", F.col("uid").alias("id"), F.col("id").alias("uid"))), "touching")
     labels = runs.select("sheet", "id", F.col("id").alias("label"))
     for _ in range(rounds):
         heard = edges.join(labels.select("sheet", F.col("id").alias("uid"), F.col("label").alias("other")), ["sheet", "uid"]).groupBy("sheet", "id").agg(F.min("other").alias("other"))
         moved = labels.join(heard, ["sheet", "id"], "left").select("sheet", "id", F.least("label", F.coalesce("other", "label")).alias("label"), (F.col("other") < F.col("label")).alias("changed"))
-        moved = moved.persist()
+        moved = durable(moved, "labels")
         changed = moved.where("changed").limit(1).count()
         labels = moved.drop("changed")
         if not changed:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.a1 import cell_text, letters_column
 from tessella.functions.cells import empty, numeric
+from tessella.operators.durable import durable
 
 
 def row_profile(grid: DataFrame) -> DataFrame:
@@ -35,11 +36,11 @@ def row_profile(grid: DataFrame) -> DataFrame:
 
 def detect_tables(grid: DataFrame) -> DataFrame:
     """One handle per sheet: header_row, span, min_row, min_col, max_row, max_col, ambiguous. A sheet without a header is A1:A1 and ambiguous."""
-    rows = row_profile(grid).persist()
+    rows = durable(row_profile(grid), "rows")
     head = rows.groupBy("sheet").agg(F.min(F.when(F.col("candidate"), F.col("row"))).alias("header_row"), F.max("row").alias("_last"))
-    second = rows.where("leaf").select("sheet", F.col("row").alias("_leaf"))
-    head = head.join(second, (head["sheet"] == second["sheet"]) & (second["_leaf"] == head["header_row"] + 1), "left").drop(second["sheet"])
-    head = head.select("sheet", "header_row", "_last", F.when(F.col("_leaf").isNull(), 1).otherwise(2).alias("span"))
+    second = rows.where("leaf").select(F.col("sheet").alias("_sheet"), F.col("row").alias("_leaf"))
+    head = head.join(second, (F.col("sheet") == F.col("_sheet")) & (F.col("_leaf") == F.col("header_row") + 1), "left")
+    head = durable(head.select("sheet", "header_row", "_last", F.when(F.col("_leaf").isNull(), 1).otherwise(2).alias("span")), "heads")
     cells = grid.select("sheet", "row", F.posexplode("cells").alias("c", "cell")).where(~empty(F.col("cell"))).select("sheet", "row", (F.col("c") + 1).alias("col"))
     placed = cells.join(head, "sheet")
     data_start = F.col("header_row") + F.col("span")

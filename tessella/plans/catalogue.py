@@ -89,7 +89,7 @@ def q05_positional_lookup(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT *, row_number() OVER (ORDER BY p_partkey) + 1 AS r FROM part), k AS (SELECT * FROM p WHERE r <= 41)
+WITH p AS (SELECT *, row_number() OVER (ORDER BY p_partkey) AS n FROM part), k AS (SELECT *, n + 1 AS r FROM p WHERE n <= 40)
 SELECT p_partkey AS row_key, 'p_name' AS column_name, p_name AS value, 'A' || r AS cell_ref FROM k UNION ALL SELECT p_partkey, 'p_brand', p_brand, 'B' || r FROM k UNION ALL SELECT p_partkey, 'p_size', CAST(p_size AS VARCHAR), 'C' || r FROM k
 """)
 def q06_read_all_limit(spark, sf_dir):
@@ -247,13 +247,13 @@ def q19_dtype_conformance(spark, sf_dir):
 
 @query("""
 WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) + 1 AS r FROM orders)
-SELECT o_orderkey AS key, CAST(r AS BIGINT) AS "row", CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey END AS live_key FROM o WHERE o_orderkey % 11 = 0 OR o_orderkey % 13 = 0
+SELECT o_orderkey AS key, CAST(r AS BIGINT) AS "row", CAST(CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey END AS DOUBLE) AS live_key FROM o WHERE o_orderkey > 0 AND (o_orderkey % 11 = 0 OR o_orderkey % 13 = 0)
 """)
 def q20_row_integrity(spark, sf_dir):
     rows = S.numbered(t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
     k = F.col("o_orderkey")
     live = rows.select("row", F.when(k % 11 == 0, -k).when(k % 13 != 0, k).alias("live_key"))
-    return G.row_integrity(rows.select(k.alias("key"), "row"), live)
+    return G.row_integrity(rows.select(k.alias("key"), "row"), live).select("key", "row", F.col("live_key").cast("double"))
 
 
 @query("""
@@ -526,13 +526,13 @@ def q45_ledger_totals(spark, sf_dir):
 
 
 @query("""
-SELECT coalesce(c_mktsegment, 'Total') AS segment, sum(o_totalprice) FILTER (q = 1) AS q1, sum(o_totalprice) FILTER (q = 2) AS q2, sum(o_totalprice) FILTER (q = 3) AS q3, sum(o_totalprice) FILTER (q = 4) AS q4, sum(o_totalprice) AS total
+SELECT coalesce(c_mktsegment, 'Total') AS segment, round(sum(o_totalprice) FILTER (q = 1), 2) AS q1, round(sum(o_totalprice) FILTER (q = 2), 2) AS q2, round(sum(o_totalprice) FILTER (q = 3), 2) AS q3, round(sum(o_totalprice) FILTER (q = 4), 2) AS q4, round(sum(o_totalprice), 2) AS total
 FROM (SELECT c_mktsegment, o_totalprice, quarter(o_orderdate) AS q FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY ROLLUP (c_mktsegment)
 """)
 def q46_totals_row_col(spark, sf_dir):
     rows = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_mktsegment", F.col("o_totalprice").alias("v"), F.quarter("o_orderdate").alias("q"))
-    quarters = [F.sum(F.when(F.col("q") == i, F.col("v"))).alias(f"q{i}") for i in range(1, 5)]
-    return rows.rollup("c_mktsegment").agg(*quarters, F.sum("v").alias("total")).withColumn("segment", F.coalesce("c_mktsegment", F.lit("Total"))).drop("c_mktsegment")
+    quarters = [F.round(F.sum(F.when(F.col("q") == i, F.col("v"))), 2).alias(f"q{i}") for i in range(1, 5)]
+    return rows.rollup("c_mktsegment").agg(*quarters, F.round(F.sum("v"), 2).alias("total")).withColumn("segment", F.coalesce("c_mktsegment", F.lit("Total"))).drop("c_mktsegment")
 
 
 @query(f"""
