@@ -2,8 +2,8 @@
 
 Base matches of email, ip, card and phone are the seed entities. Their neighbouring words induce lexical patterns;
 every identifier-like token (one with a digit or @) in the same contexts is an instance of those patterns. Spark scores the graph of
-patterns and instances in ROUNDS rounds: a pattern's score for a kind is the share of its distinct instances that are known as
-that kind, weighted by their confidence; an instance's confidence is the noisy-or of its accepted patterns. The unknown
+patterns and instances in ROUNDS rounds: a pattern's score for a kind is the weight of its distinct instances known as
+that kind, over that of all its instances, of which unknown ones count UNKNOWN_WEIGHT; an instance's confidence is the noisy-or of its accepted patterns. The unknown
 instances of accepted patterns are the new spans. Texts are read once; all else runs on the compact table of occurrences.
 """
 
@@ -22,7 +22,8 @@ from tessella.llm.common import sized_broadcast, slices, stash, texts_of
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 2
 MIN_SCORE = 0.8
-MIN_KNOWN = 3
+MIN_KNOWN = 5
+UNKNOWN_WEIGHT = 0.25
 #: The base patterns of the contract. Fixed values.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -142,7 +143,9 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS, min_score: float = MI
             F.count("*").alias("n"), *(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("trust"))), F.lit(0.0)).alias(k) for k in KINDS)
         )
         best = F.greatest(*(F.struct(F.col(k).alias("known"), F.lit(k).alias("kind")) for k in KINDS))
-        scored = sums.select("pattern", "n", best.alias("best")).select("pattern", F.col("best.kind").alias("kind"), (F.col("best.known") / F.col("n")).alias("score"), F.col("best.known").alias("known"))
+        every = sum((F.col(k) for k in KINDS[1:]), F.col(KINDS[0]))
+        weight = every + UNKNOWN_WEIGHT * F.greatest(F.col("n") - every, F.lit(0.0))
+        scored = sums.select("pattern", weight.alias("weight"), best.alias("best")).select("pattern", F.col("best.kind").alias("kind"), F.try_divide(F.col("best.known"), F.col("weight")).alias("score"), F.col("best.known").alias("known"))
         accepted = stash(scored.where((F.col("score") >= min_score) & (F.col("known") >= min_known)).select("pattern", "kind", "score"), "patterns")
         votes = links.join(accepted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("trust"))
         seeds = links.where("own is not null").select("instance", F.col("own").alias("kind"), F.lit(1.0).alias("trust"))
