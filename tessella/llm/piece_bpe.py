@@ -167,7 +167,7 @@ class PieceModel:
         if len(self._ids) > UNITS_KEPT:
             self._ids.clear()
             self._decimal.clear()
-        new = list(set().union(*cut) - self._ids.keys())
+        new = [u for u in set().union(*cut) if u not in self._ids]
         if new:
             self.learn(new)
         ids, decimal = self._ids.__getitem__, self._decimal.__getitem__

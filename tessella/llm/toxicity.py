@@ -25,10 +25,10 @@ from tessella.llm.common import slices, texts_of
 
 MAX_POSITIVE = 2000
 MAX_UNLABELLED = 6000
-MAX_FEATURES = 4096
+MAX_FEATURES = 1024
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5)
-STEPS = 400
+STEPS = 300
 RATE = 0.1
 DECAY = 1e-4
 SCALE = 100.0
@@ -62,7 +62,7 @@ class Model:
         tokens, known = (text or "").lower().split(), self._known
         if len(known) > 400_000:
             known.clear()
-        fresh = set(tokens) - known.keys()
+        fresh = [t for t in set(tokens) if t not in known]
         for token in fresh:
             known[token] = float(sum(self.weights.get(f, 0.0) for f in word_features(token)))
         total = sum(map(known.__getitem__, tokens))
@@ -100,12 +100,13 @@ def fit(flat: np.ndarray, share: np.ndarray, rows: np.ndarray, positive: np.ndar
     w, b = np.zeros(len(keys)), bias
     m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     for t in range(1, STEPS + 1):
-        sp, su = 1 / (1 + np.exp(-np.clip(xp @ w + b, -30, 30))), 1 / (1 + np.exp(-np.clip(xu @ w + b, -30, 30)))
+        now = w.astype(np.float32)  # one type throughout, else each step would copy the matrices
+        sp, su = (1 / (1 + np.exp(-np.clip((x_ @ now).astype(np.float64) + b, -30, 30))) for x_ in (xp, xu))
         # Sigmoid loss: l(s) = sigmoid(-s), bounded, so that a share of toxic text off the prior moves the risk little.
         rest = su.mean() - prior * sp.mean()
         slope_p, slope_u = sp * (1 - sp) / n_p * prior, su * (1 - su) / n_u
         gp, gu = (-2 * slope_p, slope_u) if rest >= 0 else (slope_p, -slope_u)
-        g = np.append(xp.T @ gp + xu.T @ gu + DECAY * w, gp.sum() + gu.sum() + DECAY * b)
+        g = np.append(gp.astype(np.float32) @ xp + gu.astype(np.float32) @ xu + DECAY * w, gp.sum() + gu.sum() + DECAY * b)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - move[:-1], b - float(move[-1])
@@ -139,7 +140,7 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
                 found, shares = [], []
                 for t in texts_of(part):
                     tokens = t.lower().split()
-                    for token in set(tokens) - known.keys():
+                    for token in (x for x in set(tokens) if x not in known):
                         known[token] = word_features(token)
                     f, n = np.unique(np.array([f for token in tokens for f in known[token]], dtype=np.int64), return_counts=True)
                     found.append(f)
