@@ -113,8 +113,8 @@ def _cell(c: ET.Element, row: int, col: int, shared: list[str], dates: set[int],
     return out
 
 
-def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx") -> DataFrame:
-    """workbook, sheet, row, cells of every workbook under a path. A file that cannot be read gives one row without a sheet."""
+def parse_files(files: DataFrame) -> DataFrame:
+    """workbook, sheet, row, cells from (path, content), in batch or streaming. A file that cannot be read gives one row without a sheet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +126,12 @@ def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx") -> Data
                 for low in range(0, len(rows), 5000):
                     yield pa.RecordBatch.from_pydict(dict(zip(GRID_ARROW.names, map(list, zip(*rows[low : low + 5000], strict=True)), strict=True)), schema=GRID_ARROW)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content").mapInArrow(run, GRID_DDL)
+    return files.select("path", "content").mapInArrow(run, GRID_DDL)
+
+
+def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx") -> DataFrame:
+    """Every workbook under a path, as rows of a grid."""
+    return parse_files(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path))
 
 
 def workbook_bytes(sheets: dict[str, list[list]], formulas: dict[tuple[str, int, int], str] | None = None) -> bytes:
