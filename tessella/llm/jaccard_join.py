@@ -2,7 +2,9 @@
 
 Exact for every pair of different texts. (1) Texts with the same shingle set are one class with one representative. (2) Each
 set is cut into parts by hash, so many that two sets whose likeness reaches the threshold must agree in a whole non-empty part;
-part signatures that two representatives share tie them into candidate groups, which lose no link. (3) Inside a
+part signatures that two representatives share tie them into candidate groups, which lose no link. Shingles that a sample
+shows in several documents (shared passages) are left out of the parts, which changes no bound: sets without them differ in no
+more elements; a set that is left with too few parts is cut whole as well. (3) Inside a
 group, similar documents form small subgroups; the token-group matrix holds each subgroup's token union, the overlap of a query with the union
 bounds its overlap with every member, and only subgroups that qualify (and are not linked already) are opened and compared. Large groups are
 cut into blocks, and each pair of blocks is a task's work; what leaves it is a spanning forest of links, never all pairs.
@@ -28,6 +30,11 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 SEEDS = 6
 GROWTH = 1.6
 BITMAP_BITS = 26
+#: Documents looked at for common shingles, and in how many of them a common one is. Any choice gives the same result.
+COMMON_SAMPLE = 8000
+COMMON_IN = 3
+#: Share of a set that may be common before it is cut whole as well.
+COMMON_ROOM = 0.4
 BLOCK_DOCS = 128
 BLOCK_SHINGLES = 1 << 18
 SUBGROUP = 16
@@ -88,7 +95,7 @@ def levels(percent: int) -> tuple[list[int], list[int]]:
         need = allowed(b - 1, percent)
         m = need + 1
         while need and m < 4 * need + 8:
-            empty = (1 - 1 / m) ** (b - 1)
+            empty = (1 - 1 / m) ** ((b - 1) * (1 - COMMON_ROOM))
             if m * (1 - empty) - 2.5 * (m * empty * (1 - empty)) ** 0.5 >= need + 1:
                 break
             m += max(1, m // 64)
@@ -101,21 +108,26 @@ def allowed(size: int, percent: int) -> int:
     return size * (100 - percent) // percent
 
 
-def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
+def signatures(tokens: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
     """Signatures of a set's non-empty parts, at its level and, where a larger partner may be, at the next.
 
-    If a set has more non-empty parts than it may differ in, one of them is the same in each linked partner. Sets
-    that have not (few, and by chance) go on with another way of cutting; two linked sets meet at the first way in which one of them has.
+    If a set has more non-empty parts than it may differ in, one of them is the same in each linked partner. The first way of cutting leaves
+    the common shingles out. Sets that have too few parts then go on with ways of cutting the whole set; two linked sets meet at
+    the first way in which one of them has enough.
     """
     n, (low, parts) = len(tokens), levels(percent)
     own = int(np.searchsorted(low, n, side="right")) - 1
+    rare = tokens
+    if len(common):
+        rare = tokens[common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] != tokens]
     out = []
     for level in (own, own + 1):
         if level != own and low[level] * percent > 100 * n or not parts[level] or not allowed(n, percent):
             continue
         m = parts[level]
-        for seed in range(1, SEEDS + 1):
-            turned = mix(tokens + np.uint64(seed * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+        for seed in range(SEEDS + 1):
+            used = tokens if seed else rare
+            turned = mix(used + np.uint64((seed + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
             part = ((turned >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
             sums = np.zeros(m, np.uint64)
             np.add.at(sums, part, mix(turned))
@@ -131,6 +143,25 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
+def common_shingles(documents: DataFrame, words: int, doc_id: str, text: str) -> np.ndarray:
+    """Sorted shingle hashes that COMMON_IN documents or more of a sample of about COMMON_SAMPLE have.
+
+    The sample bounds their number. They only sharpen the candidate groups; results do not depend on them.
+    """
+    n = documents.count()
+    bound = int(min(1.0, COMMON_SAMPLE / max(n, 1)) * 2**31)
+    sampled = documents.where(F.pmod(F.xxhash64(doc_id, F.lit("common")), F.lit(2**31)) < bound).select(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text, SLICE_BYTES):
+                sets = shingle_sets([t or "" for t in part.column(text).to_pylist()], words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).astype(np.int64))], ["s"])
+
+    counted = sampled.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON_IN).select("s")
+    return np.sort(np.asarray(counted.toArrow().column("s"), dtype=np.int64).astype(np.uint64))
+
+
 class Forest:
     def __init__(self, n: int):
         self.up = np.arange(n)
@@ -209,6 +240,7 @@ def group_links(sets: list[np.ndarray], percent: int, split: int | None = None)
 
 def scan(documents: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, n (size of the set), d1 and d2 (digest of the set, null if empty), signatures; written once."""
+    common = common_shingles(documents, words, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +248,7 @@ def scan(documents: DataFrame, words: int, percent: int, doc_id: str, text: str)
                 sets = shingle_sets([t or "" for t in part.column(text).to_pylist()], words)
                 first = [int(mix(s + np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in sets]
                 second = [int(mix(mix(s) ^ np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in sets]
-                marks = [signatures(s, percent).astype(np.int64) for s in sets]
+                marks = [signatures(s, percent, common).astype(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(doc_id).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
                     ["doc_id", "n", "d1", "d2", "signatures"],
@@ -251,7 +283,8 @@ def candidate_edges(owned: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rep[good]), pa.array(values[good])], ["rep", "s"])
 
     few = stash(owned.select("doc_id", "signatures").mapInArrow(keep, "rep long, s long"), "signatures")
-    hubs = few.groupBy("s").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("s", "hub")
+    # Written, so that the join below meets plain exchanges, of which Spark can split a hot key.
+    hubs = stash(few.groupBy("s").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("s", "hub"), "hubs")
     return few.join(hubs, "s").where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
 
 
