@@ -253,6 +253,9 @@ def scan(documents: DataFrame, words: int, percent: int, doc_id: str, text: str)
                     [part.column(doc_id).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
                     ["doc_id", "n", "d1", "d2", "signatures"],
                 )
+        # The worker process lives on while the JVM counts signatures: give back what it holds.
+        _powers.cache_clear()
+        pa.default_memory_pool().release_unused()
 
     return stash(documents.select(doc_id, text).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, signatures array<long>"), "shingles")
 

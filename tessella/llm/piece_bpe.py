@@ -23,7 +23,7 @@ from tessella.llm.common import slices, texts_of
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
-UNITS_KEPT = 300_000
+UNITS_KEPT = 150_000
 BATCH_BYTES = 2 << 20
 
 

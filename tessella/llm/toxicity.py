@@ -60,7 +60,7 @@ class Model:
 
     def score(self, text: str | None) -> float:
         tokens, known = (text or "").lower().split(), self._known
-        if len(known) > 400_000:
+        if len(known) > 200_000:
             known.clear()
         fresh = [t for t in set(tokens) if t not in known]
         for token in fresh:
@@ -135,7 +135,7 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         known: dict[str, list[int]] = {}
         for batch in batches:
             for part in slices(batch, "text"):
-                if len(known) > 400_000:
+                if len(known) > 200_000:
                     known.clear()
                 found, shares = [], []
                 for t in texts_of(part):
