@@ -6,8 +6,8 @@ part signatures that two representatives share tie them into candidate groups, w
 shows in several documents (shared passages) are left out of the parts, which changes no bound: sets without them differ in no
 more elements; a set that is left with too few parts is cut whole as well. (3) Inside a
 group, similar documents form small subgroups; the token-group matrix holds each subgroup's token union, the overlap of a query with the union
-bounds its overlap with every member, and only subgroups that qualify (and are not linked already) are opened and compared. Large groups are
-cut into blocks, and each pair of blocks is a task's work; what leaves it is a spanning forest of links, never all pairs.
+bounds its overlap with every member, and only subgroups that qualify are opened; all their members are compared. Large groups are
+cut into blocks, and each pair of blocks is a task's work; what leaves it is a spanning forest of links and each set's number of links.
 """
 
 from __future__ import annotations
@@ -39,6 +39,9 @@ BLOCK_DOCS = 128
 BLOCK_SHINGLES = 1 << 18
 SUBGROUP = 16
 SLICE_BYTES = 1 << 20
+MEMBER = ("node", "d1", "d2", "copies")
+LINKS = ("u", "v", "d1", "d2", "linked")
+LINKS_DDL = ", ".join(f"{c} long" for c in LINKS)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -162,33 +165,19 @@ def common_shingles(documents: DataFrame, words: int, doc_id: str, text: str) ->
     return np.sort(np.asarray(counted.toArrow().column("s"), dtype=np.int64).astype(np.uint64))
 
 
-class Forest:
-    def __init__(self, n: int):
-        self.up = np.arange(n)
+def group_links(sets: list[np.ndarray], percent: int, copies: np.ndarray, split: int | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the links among sets, and how many rows each set is linked with; with split, of those between sets before and after that place.
 
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return int(i)
-
-    def link(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-def group_links(sets: list[np.ndarray], percent: int, split: int | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets; with split, of those between sets before and after that place.
+    copies: the number of rows that a set stands for. Every pair that may be linked is compared; the forest serves components only.
 
     The token-group matrix: sets are ordered so that similar ones stand together (by smallest token, then size) and cut into subgroups; a
     sparse matrix holds which subgroup's union has which token.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets], dtype=np.int64)
+    linked = np.zeros(n, dtype=np.int64)
     if n < 2 or not size.sum():
-        return []
+        return [], linked
     tokens = np.unique(np.concatenate(sets), return_inverse=True)[1]
     owner = np.repeat(np.arange(n), size)
     ends = np.cumsum(size)
@@ -208,7 +197,10 @@ def group_links(sets: list[np.ndarray], percent: int, split: int | None = None)
     cell_at = np.searchsorted(cells // n_groups, np.arange(int(tokens.max()) + 2))
     smallest_size = np.minimum.reduceat(size[members], np.arange(0, len(members), SUBGROUP))
     largest_size = np.maximum.reduceat(size[members], np.arange(0, len(members), SUBGROUP))
-    forest, links = Forest(n), []
+    flat = np.concatenate([rows[m] for m in members])
+    stop = np.cumsum(size[members])
+    begin = stop - size[members]
+    tree, links = np.arange(n), []
     queries = members.tolist() if split is None else list(range(split, n))
     marked = np.zeros(int(tokens.max()) + 1, dtype=bool)
     for q in queries:
@@ -219,23 +211,35 @@ def group_links(sets: list[np.ndarray], percent: int, split: int | None = None)
         width = b - a
         at = np.repeat(a - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
         bound = np.bincount(cell_group[at], minlength=n_groups)
-        open_ = (bound * 100 >= percent * k) & (largest_size * 100 >= percent * k) & (smallest_size * percent <= 100 * k)
-        if split is None:
-            open_[place[q] // SUBGROUP + 1 :] = False
-        if not open_.any():
-            continue
+        opened = np.flatnonzero((bound * 100 >= percent * k) & (largest_size * 100 >= percent * k) & (smallest_size * percent <= 100 * k))
+        last = len(members) if split is not None else int(place[q])
         marked[mine] = True
-        for g in np.flatnonzero(open_).tolist():
-            for x in members[g * SUBGROUP : (g + 1) * SUBGROUP].tolist():
-                if split is None and place[x] >= place[q] or not size[x] or forest.root(x) == forest.root(q):
-                    continue
-                if size[x] * 100 < percent * k or k * 100 < percent * size[x]:
-                    continue
-                both = int(marked[rows[x]].sum())
-                if both * 100 >= percent * (k + int(size[x]) - both) and forest.link(x, q):
+        for run in np.split(opened, np.flatnonzero(np.diff(opened) > 1) + 1) if len(opened) else []:
+            low, high = int(run[0]) * SUBGROUP, min((int(run[-1]) + 1) * SUBGROUP, last)
+            if low >= high:
+                continue
+            sums = np.concatenate([[0], np.cumsum(marked[flat[begin[low] : stop[high - 1]]])])
+            both = sums[stop[low:high] - begin[low]] - sums[begin[low:high] - begin[low]]
+            others = size[members[low:high]]
+            hit = members[low:high][(others > 0) & (both * 100 >= percent * (k + others - both))]
+            linked[q] += copies[hit].sum()
+            linked[hit] += copies[q]
+            trees, some = np.unique(tree[hit], return_index=True)
+            for of, x in zip(trees.tolist(), hit[some].tolist(), strict=True):
+                if of != tree[q]:
                     links.append((x, q))
+                    tree[tree == of] = tree[q]
         marked[mine] = False
-    return links
+    return links, linked
+
+
+def digests(tokens: np.ndarray) -> tuple[int | None, int | None]:
+    """d1 and d2, the two halves of a set's digest; an empty set has none."""
+    if not len(tokens):
+        return None, None
+    first = mix(tokens + np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64).astype(np.int64)
+    second = mix(mix(tokens) ^ np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64).astype(np.int64)
+    return int(first), int(second)
 
 
 def scan(documents: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
@@ -246,11 +250,10 @@ def scan(documents: DataFrame, words: int, percent: int, doc_id: str, text: str)
         for batch in batches:
             for part in slices(batch, text, SLICE_BYTES):
                 sets = shingle_sets([t or "" for t in part.column(text).to_pylist()], words)
-                first = [int(mix(s + np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in sets]
-                second = [int(mix(mix(s) ^ np.uint64(0xE7037ED1A0B428DB)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in sets]
+                keys = [digests(s) for s in sets]
                 marks = [signatures(s, percent, common).astype(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(doc_id).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
+                    [part.column(doc_id).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([d for d, _ in keys], pa.int64()), pa.array([d for _, d in keys], pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
                     ["doc_id", "n", "d1", "d2", "signatures"],
                 )
         # The worker process lives on while the JVM counts signatures: give back what it holds.
@@ -291,8 +294,11 @@ def candidate_edges(owned: DataFrame) -> DataFrame:
     return few.join(hubs, "s").where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
 
 
-def links_within(documents: DataFrame, groups: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """u, v: links among the members of each candidate group. groups: node, component, n."""
+def links_within(documents: DataFrame, groups: DataFrame, classes: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """u, v: a forest of the links among the members of each candidate group; and, where u is null, d1, d2, linked: with how many rows a class is linked.
+
+    groups: node, component, n; classes: rep, d1, d2, copies. A class may come in several rows, the numbers of which add up.
+    """
     spark = documents.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sums = groups.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"))
@@ -304,10 +310,17 @@ def links_within(documents: DataFrame, groups: DataFrame, words: int, percent: i
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                sets = [s.tobytes() for s in shingle_sets([t or "" for t in part.column("text").to_pylist()], words)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("component", "blocks", "block", "node")), pa.array(sets, pa.binary())], ["component", "blocks", "block", "node", "tokens"])
+                sets = shingle_sets([t or "" for t in part.column("text").to_pylist()], words)
+                keys = [digests(s) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("component", "blocks", "block", "node")), pa.array([d for d, _ in keys], pa.int64()), pa.array([d for _, d in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    ["component", "blocks", "block", "node", "d1", "d2", "tokens"],
+                )
 
-    sets = stash(chosen.select("component", "blocks", "block", "node", F.col(text).alias("text")).mapInArrow(tokens, "component long, blocks int, block int, node long, tokens binary"), "sets")
+    cut = chosen.select("component", "blocks", "block", "node", F.col(text).alias("text")).mapInArrow(tokens, "component long, blocks int, block int, node long, d1 long, d2 long, tokens binary")
+    # An id may have other texts, whose classes are another id's.
+    own = stash(classes.select(F.col("rep").alias("node"), "d1", "d2", "copies").join(groups.select("node"), "node"), "own")
+    sets = stash(cut.join(sized_broadcast(own, own.count()), ["node", "d1", "d2"]).select("component", "blocks", "block", *MEMBER, "tokens"), "sets")
 
     def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
         for batch in batches:
@@ -324,45 +337,58 @@ def links_within(documents: DataFrame, groups: DataFrame, words: int, percent: i
         if held:
             yield key, held
 
-    def edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"u": [u for u, _ in found], "v": [v for _, v in found]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    def result(members: list[tuple], found: tuple[list[tuple[int, int]], np.ndarray]) -> pa.RecordBatch:
+        links, linked = found
+        some = np.flatnonzero(linked).tolist()
+        rows = [(members[a][0], members[b][0], None, None, None) for a, b in links] + [(None, None, members[i][1], members[i][2], int(linked[i])) for i in some]
+        return pa.RecordBatch.from_pydict({c: [r[i] for r in rows] for i, c in enumerate(LINKS)}, schema=pa.schema([(c, pa.int64()) for c in LINKS]))
+
+    def once(held: list[tuple]) -> list[tuple]:
+        """Rows that repeat an id and its text are one member."""
+        return list({h[:3]: h for h in held}.values())
+
+    def copies_of(members: list[tuple]) -> np.ndarray:
+        return np.array([m[3] for m in members], dtype=np.int64)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in grouped(rows_of(batches, "component", "node", "tokens"), 1):
-            nodes = [h[0] for h in held]
-            yield edges([(nodes[a], nodes[b]) for a, b in group_links([np.frombuffer(h[1], np.uint64) for h in held], percent)])
+        for _, held in grouped(rows_of(batches, "component", *MEMBER, "tokens"), 1):
+            held = once(held)
+            yield result(held, group_links([np.frombuffer(h[4], np.uint64) for h in held], percent, copies_of(held)))
 
     deal = F.pmod(F.xxhash64("component") + F.col("block"), F.lit(tasks)).cast("int")
-    small = sets.where("blocks = 1").repartitionById(tasks, deal).sortWithinPartitions("component").mapInArrow(whole, "u long, v long")
+    small = sets.where("blocks = 1").repartitionById(tasks, deal).sortWithinPartitions("component").mapInArrow(whole, LINKS_DDL)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("component", pa.int64()), ("blocks", pa.int32()), ("block", pa.int32()), ("nodes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary())])
-        for (component, blocks, block), held in grouped(rows_of(batches, "component", "blocks", "block", "node", "tokens"), 3):
-            yield pa.RecordBatch.from_pydict({"component": [component], "blocks": [blocks], "block": [block], "nodes": [[h[0] for h in held]], "sizes": [[len(h[1]) // 8 for h in held]], "tokens": [b"".join([h[1] for h in held])]}, schema=kind)
+        kind = pa.schema([("component", pa.int64()), ("blocks", pa.int32()), ("block", pa.int32()), *((c, pa.list_(pa.int64())) for c in MEMBER), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary())])
+        for (component, blocks, block), held in grouped(rows_of(batches, "component", "blocks", "block", *MEMBER, "tokens"), 3):
+            held = once(held)
+            lists = {c: [[h[i] for h in held]] for i, c in enumerate(MEMBER)}
+            yield pa.RecordBatch.from_pydict({"component": [component], "blocks": [blocks], "block": [block], **lists, "sizes": [[len(h[4]) // 8 for h in held]], "tokens": [b"".join([h[4] for h in held])]}, schema=kind)
 
-    packed = stash(
-        sets.where("blocks > 1").repartitionById(tasks, deal).sortWithinPartitions("component", "block").mapInArrow(pack, "component long, blocks int, block int, nodes array<long>, sizes array<int>, tokens binary"), "blocks"
-    )
+    block_ddl = f"component long, blocks int, block int, {', '.join(f'{c} array<long>' for c in MEMBER)}, sizes array<int>, tokens binary"
+    packed = stash(sets.where("blocks > 1").repartitionById(tasks, deal).sortWithinPartitions("component", "block").mapInArrow(pack, block_ddl), "blocks")
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in grouped(rows_of(batches, "component", "i", "j", "nodes", "sizes", "tokens"), 3):
-            nodes = [x for h in held for x in h[0]]
-            cut = [np.split(np.frombuffer(h[2], np.uint64), np.cumsum(h[1])[:-1]) for h in held]
-            yield edges([(nodes[a], nodes[b]) for a, b in group_links([s for c in cut for s in c], percent, len(cut[0]) if len(held) > 1 else None)])
-
-    pairs = packed.select("component", "blocks", "block", "nodes", "sizes", "tokens", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("component", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "nodes", "sizes", "tokens")
+        for (_, i, j), held in grouped(rows_of(batches, "component", "i", "j", *MEMBER, "sizes", "tokens"), 3):
+            if i != j and len(held) == 1:  # the other block has no members
+                continue
+            members = [m for h in held for m in zip(*h[:4], strict=True)]
+            cut = [np.split(np.frombuffer(h[5], np.uint64), np.cumsum(h[4])[:-1]) for h in held]
+            yield result(members, group_links([s for c in cut for s in c], percent, copies_of(members), len(cut[0]) if len(held) > 1 else None))
+
+    pairs = packed.select("component", "blocks", "block", *MEMBER, "sizes", "tokens", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = pairs.select("component", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *MEMBER, "sizes", "tokens")
     number = F.xxhash64("component") + F.col("i") * F.col("blocks") - F.shiftright(F.col("i") * (F.col("i") - 1), 1) + F.col("j") - F.col("i")
-    large = pairs.repartitionById(tasks, F.pmod(number, F.lit(tasks)).cast("int")).sortWithinPartitions("component", "i", "j").mapInArrow(between, "u long, v long")
+    large = pairs.repartitionById(tasks, F.pmod(number, F.lit(tasks)).cast("int")).sortWithinPartitions("component", "i", "j").mapInArrow(between, LINKS_DDL)
     return small.union(large)
 
 
 def jaccard_join(documents: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row: documents linked by sets of word shingles that are alike by percent or more.
+    """doc_id, n_shingles, component_id and n_links of every row: documents linked by sets of word shingles that are alike by percent or more.
 
     Words are lower-cased (A-Z) and cut at white space; a text with fewer words than a shingle is one shingle; texts without words, and null
-    texts, are linked with nothing. component_id is the smallest doc_id reachable by links. Rows of one doc_id are one node; a null doc_id
-    has a null component and links nothing. Extra columns play no part; an empty table gives no rows.
+    texts, are linked with nothing. component_id is the smallest doc_id reachable by links; n_links is the number of other rows (not null in doc_id)
+    that the row is linked with. Rows of one doc_id are one node; a null doc_id has a null component and links nothing. Extra columns play no part; an empty table gives no rows.
     """
     scanned = scan(documents, words, percent, doc_id, text)
     full = scanned.where("n > 0 and doc_id is not null")
@@ -373,7 +399,11 @@ def jaccard_join(documents: DataFrame, words: int = 5, percent: int = 80, doc_id
     groups = connected_components(candidate_edges(owned))
     sizes = classes.select(F.col("rep").alias("node"), "n").groupBy("node").agg(F.max("n").alias("n"))
     groups = stash(groups.join(sizes, "node"), "groups")
-    found = connected_components(links_within(documents, groups, words, percent, doc_id, text))
-    named = classes.select("d1", "d2", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+    found = stash(links_within(documents, groups, classes, words, percent, doc_id, text), "links")
+    linked = found.where("u is null").groupBy("d1", "d2").agg(F.sum("linked").alias("linked"))
+    ends = connected_components(found.where("u is not null").select("u", "v"))
+    named = classes.join(ends.select(F.col("node").alias("rep"), "component"), "rep", "left").join(linked, ["d1", "d2"], "left")
+    named = named.select("d1", "d2", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     out = scanned.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    known = F.col("doc_id").isNotNull()
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce(F.when(known, F.col("n_links")), F.lit(0)).cast("long").alias("n_links"))

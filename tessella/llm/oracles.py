@@ -45,4 +45,9 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(c,
 FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(seen) AS c FROM reach GROUP BY doc_id) m ON m.doc_id = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op3_jaccard_join": OP3_JACCARD_JOIN, "op7_mixing": OP7_MIXING}
+#: As OP3_JACCARD_JOIN, with the links of each document.
+OP3_JACCARD_LINKS = OP3_JACCARD_JOIN.replace("AS component_id\n", "AS component_id, CAST(coalesce(l, 0) AS BIGINT) AS n_links\n") + """\
+LEFT JOIN (SELECT a AS doc_id, count(*) AS l FROM both_ways GROUP BY a) k ON k.doc_id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op3_jaccard_join": OP3_JACCARD_JOIN, "op3_jaccard_links": OP3_JACCARD_LINKS, "op7_mixing": OP7_MIXING}

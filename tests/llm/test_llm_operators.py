@@ -149,6 +149,30 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert got == brute_components(texts, 3, 90)
 
 
+@pytest.mark.parametrize("block", [16, 128])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", block)
+    rng, base = random.Random(5), [f"w{i}" for i in range(120)]
+    rows = [(None, " ".join(base)), (7, "alone in the world"), (8, None)]
+    for i in range(100, 160):
+        copy = list(base)
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(120)] = f"v{rng.randint(0, 3)}"
+        rows += [(i, " ".join(copy))] * (2 if i % 10 == 0 else 1)
+    rows += [(500 + i, " ".join(base)) for i in range(5)] + [(101, "another text under an id that is there"), (3, "another text under an id that is there")]
+
+    def shingles(t):
+        w = (t or "").split()
+        return {tuple(w[j : j + 3]) for j in range(len(w) - 2)}
+
+    sets = [(i, shingles(t)) for i, t in rows]
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= 90 * len(a | b)
+    want = sorted((i or -1, len(s), sum(near(s, o) for j, (k, o) in enumerate(sets) if j != at and k is not None) if i is not None else 0) for at, (i, s) in enumerate(sets))
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert sorted((r.doc_id or -1, r.n_shingles, r.n_links) for r in got) == want
+    assert len({n for _, _, n in want}) > 5
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
