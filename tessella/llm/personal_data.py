@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessella.llm.common import sized_broadcast, slices, stash, texts_of
 
@@ -105,11 +106,17 @@ OCCURRENCE = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa
 FOUND_DDL = "doc_id {}, n_email long, n_ip long, n_card long, n_phone long, base string, places array<struct<kind:string,start:int,end:int,instance:long,patterns:array<string>>>"
 
 
-def scan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: counts and text of the base spans, and the occurrences with their patterns; written once, with a row number."""
+def scan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """One row per document: counts and text of the base spans, and the occurrences with their patterns; written once, with a row number.
+
+    whole: the document itself comes along, all its columns as one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if whole:
+                rows = batch.column(0)
+                batch = pa.RecordBatch.from_arrays([rows.field(doc_id), rows.field(text), rows], [doc_id, text, "whole"])
             for part in slices(batch, text):
                 counts: list[list[int]] = [[] for _ in KINDS]
                 base, places = [], []
@@ -120,12 +127,16 @@ def scan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
                     base.append(spans_text(spans))
                     places.append([dict(zip(("kind", "start", "end", "instance", "patterns"), o, strict=True)) for o in occurrences(t, spans)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(doc_id), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(places, pa.list_(OCCURRENCE))],
-                    ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "places"],
+                    [part.column(doc_id), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(places, pa.list_(OCCURRENCE)), *part.columns[2:]],
+                    ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "places", *part.schema.names[2:]],
                 )
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    found = documents.select(doc_id, text).mapInArrow(run, FOUND_DDL.format(kind))
+    schema = StructType.fromDDL(FOUND_DDL.format(kind))
+    if whole:
+        found = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("whole")).mapInArrow(run, schema.add("whole", documents.schema))
+    else:
+        found = documents.select(doc_id, text).mapInArrow(run, schema)
     return stash(found.withColumn("row", F.monotonically_increasing_id()), "personal")
 
 
@@ -187,10 +198,11 @@ def find(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 
 def redact(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, each span of personal data in the text replaced by its kind in brackets. Ids must be unique; null texts stay null."""
-    found = find(documents, doc_id, text).where("spans <> ''").select(F.col("doc_id").alias("_found"), F.col("spans").alias("_spans"))
-    found = stash(found, "spans")
-    both = documents.join(sized_broadcast(found, found.count(), 100_000), F.col(doc_id) == F.col("_found"), "left").drop("_found")
+    """The documents, each span of personal data in the text replaced by its kind in brackets. Repeated rows and null ids keep their rows; null texts stay null."""
+    scanned = scan(documents, doc_id, text, whole=True)
+    added, n = new_spans(scanned)
+    # By row number: each text is covered at its own places, whatever its id.
+    both = scanned.select("row", "base", "whole").join(sized_broadcast(added, n, 100_000), "row", "left").select("whole.*", joined_spans(F.col("base"), F.col("added")).alias("_spans"))
 
     def cover(value: str, spans: str) -> str:
         out, at = [], 0

@@ -96,6 +96,16 @@ def test_personal_base_and_patterns(spark, odd, empty):
     assert hidden[1] == "word reach me at [EMAIL] today" and hidden[0] == "then reach me at [EMAIL] today" and hidden[500] is None
 
 
+def test_redact_null_and_repeated_ids(spark):
+    rows = [(None, "null id, mail a@b.org now"), (None, "no data"), (1, "mail me: long.name@example.org"), (1, "clean text that stays as it is"), (1, "ip 10.0.0.1 here"), (1, "ip 10.0.0.1 here"), (2, None)]
+    rows += [(None if i % 2 else 9, f"then reach me at user{i}@x.org today") for i in range(8)] + [(None, "then reach me at secret1 today"), (9, "then reach me at secret2 today")]
+    got = personal_data.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, "null id, mail [EMAIL] now"), (None, "no data"), (1, "mail me: [EMAIL]"), (1, "clean text that stays as it is"), (1, "ip [IP] here"), (1, "ip [IP] here"), (2, None)]
+    want += [(None if i % 2 else 9, "then reach me at [EMAIL] today") for i in range(8)] + [(i, "then reach me at [EMAIL] today") for i in (None, 9)]
+    order = lambda r: (r[0] or -1, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in got), key=order) == sorted(want, key=order)
+
+
 def brute_components(texts, words, percent):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets, up = {}, {i: i for i in texts}
