@@ -78,7 +78,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def scan(index: Index, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best k of the rows for each query: (query row, vector row, distance). bound: a squared distance that the k-th nearest does not exceed."""
+    """Best k ids of the rows for each query: (query row, vector row, distance). bound: a squared distance that the k-th nearest id does not exceed."""
     d = x.shape[1]
     rx, rq = (x @ index.rotation.astype(np.float64)), (q @ index.rotation.astype(np.float64))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -103,6 +103,10 @@ def scan(index: Index, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q:
         if not len(qi):
             continue
         exact = np.sqrt(((q[low + qi] - x[xi]) ** 2).sum(1))
+        order = np.lexsort((exact, ids[xi], qi))  # a repeated id holds one place, at its nearest vector
+        own = ids[xi[order]]
+        order = order[(np.diff(qi[order], prepend=-1) != 0) | np.concatenate([[True], own[1:] != own[:-1]])]
+        qi, xi, exact = qi[order], xi[order], exact[order]
         order = np.lexsort((ids[xi], exact, qi))
         qi, xi, exact = qi[order], xi[order], exact[order]
         first = np.flatnonzero(np.diff(qi, prepend=-1))
@@ -141,6 +145,9 @@ def search(vectors: DataFrame, every: int = 100, k: int = NEAREST) -> DataFrame:
                 x = (_matrix(batch.column("embedding")) @ index.rotation).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(closest(x, index.centroids, 1)[:, 0].astype(np.int32))], ["vec_id", "embedding", "list"])
 
+    by_id = np.argsort(index.sample_ids, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(index.sample_ids[by_id]) != 0]))
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -149,13 +156,17 @@ def search(vectors: DataFrame, every: int = 100, k: int = NEAREST) -> DataFrame:
             near = closest((q @ index.rotation).astype(np.float32), index.centroids, index.probes)
             gap = ((q * q).sum(1)[:, None] + (index.sample * index.sample).sum(1)[None, :] - 2 * q @ index.sample.T).clip(min=0)
             gap[own[:, None] == index.sample_ids[None, :]] = np.inf
-            bound = np.partition(gap, k - 1, axis=1)[:, k - 1] if gap.shape[1] >= k else np.full(len(q), np.inf)
+            of_id = np.minimum.reduceat(gap[:, by_id], heads, axis=1) if len(heads) < gap.shape[1] else gap
+            bound = np.partition(of_id, k - 1, axis=1)[:, k - 1] if len(heads) >= k else np.full(len(q), np.inf)
             bound = bound * (1 + 1e-9) + 1e-9
             first = []
             for i in range(len(q)):  # the sample's own k nearest, with exact distances
                 some = np.flatnonzero((gap[i] <= bound[i]) & np.isfinite(gap[i]))
                 exact = np.sqrt(((index.sample[some] - q[i]) ** 2).sum(1))
-                first.append([{"vec_id": int(index.sample_ids[some[j]]), "score": float(exact[j])} for j in np.lexsort((index.sample_ids[some], exact))[:k]])
+                best: dict[int, float] = {}
+                for j in np.lexsort((index.sample_ids[some], exact)).tolist():
+                    best.setdefault(int(index.sample_ids[some[j]]), float(exact[j]))
+                first.append([{"vec_id": v, "score": s} for v, s in itertools.islice(best.items(), k)])
             kind = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(bound), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array(first, kind)], ["vec_id", "embedding", "bound", "lists", "first"])
 

@@ -256,6 +256,18 @@ def test_nearest_recall_and_exactness(spark, sf_dir):
     assert hit / total >= 0.9
 
 
+def test_nearest_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(100, 140)]
+    rows += [(7, (np.array(rows[0][1]) + 0.001 * j).tolist()) for j in range(1, 40)] + [(8, rows[0][1])] * 15
+    got = [(r.vec_id, round(r.score, 9)) for r in nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    gap = {}
+    for i, v in rows[1:]:
+        d = float(np.linalg.norm(np.array(v) - np.array(rows[0][1])))
+        gap[i] = min(gap.get(i, d), d)
+    assert got == [(i, round(d, 9)) for d, i in sorted((d, i) for i, d in gap.items())[:10]]
+
+
 def test_nearest_awkward(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, [0.0, 0.0]), (5, None), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (100, [3.0, 0.0]), (None, [1.0, 1.0]), (200, None)]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string")
