@@ -26,31 +26,46 @@ def uncovered(cells: DataFrame, regions: DataFrame) -> DataFrame:
     return cells.join(r, inside, "left_anti")
 
 
-def pieces(cells: DataFrame, rounds: int = 64) -> DataFrame:
-    """sheet, piece, min_row, min_col, max_row, max_col, n: eight-connected pieces of cells.
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    Cells become runs (consecutive columns of a row); runs of neighbouring rows that touch, also by a corner, are edges; the smallest
-    run number flows along the edges until nothing changes.
+
+def _smallest(edges: DataFrame) -> DataFrame:
+    """node and label (the smallest node reachable) of every node of edges (u, v), by alternating large-star and small-star steps.
+
+    Rounds go on until nothing changes; their number grows with the logarithm of a piece's length.
+    """
+    now = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "touching")
+    before = _state(now)
+    while before[0]:
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        now = durable(small.select("e.u", "e.v").where("u <> v").distinct(), "touching")
+        after = _state(now)
+        if after == before:
+            break
+        before = after
+    return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
+
+
+def pieces(cells: DataFrame) -> DataFrame:
+    """sheet, piece, min_row, min_col, max_row, max_col, n: eight-connected pieces of cells, of any size.
+
+    Cells become runs (consecutive columns of a row); runs of neighbouring rows that touch, also by a corner, are edges, which are
+    contracted to stars around the smallest run of each piece.
     """
     w = Window.partitionBy("sheet", "row").orderBy("col")
     runs = cells.select("sheet", "row", "col").distinct().withColumn("_g", F.col("col") - F.row_number().over(w)).groupBy("sheet", "row", "_g").agg(F.min("col").alias("a"), F.max("col").alias("b"))
-    runs = runs.select("sheet", "row", "a", "b", F.struct("row", "a").alias("id"))
-    runs = durable(runs, "runs")
-    up = runs.select("sheet", (F.col("row") + 1).alias("row"), F.col("a").alias("ua"), F.col("b").alias("ub"), F.col("id").alias("uid"))
-    touch = runs.join(up, ["sheet", "row"]).where((F.col("a") <= F.col("ub") + 1) & (F.col("ua") <= F.col("b") + 1)).select("sheet", "id", "uid")
-    edges = durable(touch.union(touch.select("sheet", F.col("uid").alias("id"), F.col("id").alias("uid"))), "touching")
-    labels = runs.select("sheet", "id", F.col("id").alias("label"))
-    for _ in range(rounds):
-        heard = edges.join(labels.select("sheet", F.col("id").alias("uid"), F.col("label").alias("other")), ["sheet", "uid"]).groupBy("sheet", "id").agg(F.min("other").alias("other"))
-        moved = labels.join(heard, ["sheet", "id"], "left").select("sheet", "id", F.least("label", F.coalesce("other", "label")).alias("label"), (F.col("other") < F.col("label")).alias("changed"))
-        moved = durable(moved, "labels")
-        changed = moved.where("changed").limit(1).count()
-        labels = moved.drop("changed")
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"pieces did not settle in {rounds} rounds")
-    return labels.join(runs, ["sheet", "id"]).groupBy("sheet", "label").agg(
+    runs = durable(runs.select("sheet", "row", "a", "b"), "runs")
+    node = F.struct("sheet", "row", "a")
+    up = runs.select("sheet", (F.col("row") + 1).alias("row"), F.col("a").alias("ua"), F.col("b").alias("ub"), node.alias("v"))
+    touch = runs.join(up, ["sheet", "row"]).where((F.col("a") <= F.col("ub") + 1) & (F.col("ua") <= F.col("b") + 1)).select(node.alias("u"), "v")
+    found = _smallest(touch).select("node.sheet", "node.row", "node.a", F.struct("label.row", "label.a").alias("_label"))
+    labels = runs.join(found, ["sheet", "row", "a"], "left").withColumn("label", F.coalesce("_label", F.struct("row", "a")))
+    return labels.groupBy("sheet", "label").agg(
         F.min("row").alias("min_row"), F.min("a").alias("min_col"), F.max("row").alias("max_row"), F.max("b").alias("max_col"), F.sum(F.col("b") - F.col("a") + 1).alias("n")
     )
 

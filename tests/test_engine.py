@@ -141,3 +141,14 @@ def test_catalogue(spark, sf_dir, name):
     assert sorted(got.columns) == sorted(want.columns)
     text = lambda d: sorted(tuple(f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in d[sorted(d.columns)].itertuples(index=False))
     assert text(got) == text(want)
+
+
+def test_tall_piece(spark):
+    from tessella.operators.coverage import pieces
+
+    tall = [("s", r, 3) for r in range(1, 1001)]
+    apart = [("s", r, 9 + r % 2) for r in range(1, 150, 1) if r != 100] + [("s", 5, 20), ("other", 5, 3)]
+    got = pieces(spark.createDataFrame(tall + apart, "sheet string, row int, col int")).collect()
+    assert sorted((r.sheet, r.min_row, r.min_col, r.max_row, r.max_col, r.n) for r in got) == [
+        ("other", 5, 3, 5, 3, 1), ("s", 1, 3, 1000, 3, 1000), ("s", 1, 9, 99, 10, 99), ("s", 5, 20, 5, 20, 1), ("s", 101, 9, 149, 10, 49),
+    ]
