@@ -46,6 +46,16 @@ def stash(frame: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of stashed frames that nothing will read again. What is gone already is passed over."""
+    for frame in frames:
+        spark, shared = frame.sparkSession, shared_dir(frame.sparkSession)
+        for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+            if shared.split("://")[-1].lstrip("/") in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sized_broadcast(frame: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a side whose counted rows are few; else Spark picks a shuffled join and splits skew."""
     return F.broadcast(frame) if rows <= limit else frame

@@ -1,17 +1,18 @@
 """N-gram Jaccard join with a token-group matrix.
 
-Exact for every pair of different texts. (1) Texts with the same shingle set are one class with one representative. (2) Each
-set is cut into parts by hash, so many that two sets whose likeness reaches the threshold must agree in a whole non-empty part;
-part signatures that two representatives share tie them into candidate groups, which lose no link. Shingles that a sample
-shows in several documents (shared passages) are left out of the parts, which changes no bound: sets without them differ in no
-more elements; a set that is left with too few parts is cut whole as well. (3) Inside a
-group, similar documents form small subgroups; the token-group matrix holds each subgroup's token union, the overlap of a query with the union
-bounds its overlap with every member, and only subgroups that qualify are opened; all their members are compared. Large groups are
-cut into blocks, and each pair of blocks is a task's work; what leaves it is a spanning forest of links and each set's number of links.
+Exact for every pair of different texts. (1) Texts with the same shingle set are one class. (2) All sets follow one order of shingles (by
+hash, those that a sample shows in several documents last). Of each set only a prefix is a key: so long that two linked sets of n
+shingles have 1 + n / SPARE of their keys in common. Keys that one class alone has are dropped, and with them each class that
+has too few left to be linked with anything. (3) The classes left are partitioned into groups of similar sets, by a common key and one round
+of moving each class to where most of its keys are. The token-group matrix holds each group's union of keys. (4) Groups are looked up in
+the matrix by a join on the key: the number of shared cells bounds the overlap of each member of one group with each of the
+other, and only pairs of groups that reach it, with sizes that fit, are opened. (5) In an opened pair a finer matrix, over all
+shingles and subgroups of SUBGROUP sets, bounds each query again, and what it opens is compared.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,28 +21,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import sized_broadcast, slices, stash
+from tessella.llm.common import discard, sized_broadcast, slices, stash
 from tessella.llm.components import connected_components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 GAP = np.isin(np.arange(256), [32, *range(9, 14)])
 VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
-SEEDS = 6
-GROWTH = 1.6
-BITMAP_BITS = 26
 #: Documents looked at for common shingles, and in how many of them a common one is. Any choice gives the same result.
 COMMON_SAMPLE = 8000
 COMMON_IN = 3
-#: Share of a set that may be common before it is cut whole as well.
-COMMON_ROOM = 0.4
-BLOCK_DOCS = 128
-BLOCK_SHINGLES = 1 << 18
+#: Two linked sets of n shingles or more share 1 + n // SPARE keys at least. Any choice gives the same result.
+SPARE = 20
+#: Sets of a group: so many, or for large families ROOT times the root of their number, as long as their shingles are no more than GROUP_SHINGLES.
+GROUP_DOCS = 128
+ROOT = 4
+GROUP_SHINGLES = 1 << 19
 SUBGROUP = 16
-SLICE_BYTES = 1 << 20
-MEMBER = ("node", "d1", "d2", "copies")
-LINKS = ("u", "v", "d1", "d2", "linked")
-LINKS_DDL = ", ".join(f"{c} long" for c in LINKS)
+SLICE_BYTES = 1 << 19
+MEMBER = ("node", "rep", "copies")
+LINKS_DDL = "u long, v long, node long, linked long"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -88,62 +87,22 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     return out
 
 
-@lru_cache(maxsize=None)
-def levels(percent: int) -> tuple[list[int], list[int]]:
-    """Smallest size of each level, and its number of parts (0: only equal sets can be linked)."""
-    low, parts = [1], []
-    while low[-1] < 1 << 40:
-        low.append(int(low[-1] * GROWTH) + 1)
-    for a, b in zip(low[:-1], low[1:], strict=True):
-        need = allowed(b - 1, percent)
-        m = need + 1
-        while need and m < 4 * need + 8:
-            empty = (1 - 1 / m) ** ((b - 1) * (1 - COMMON_ROOM))
-            if m * (1 - empty) - 2.5 * (m * empty * (1 - empty)) ** 0.5 >= need + 1:
-                break
-            m += max(1, m // 64)
-        parts.append(m if need else 0)
-    return low, parts
+def least_shared(n: int) -> int:
+    """How many keys two linked sets share, if the smaller has n shingles."""
+    return 1 + n // SPARE
 
 
-def allowed(size: int, percent: int) -> int:
-    """Most elements by which a set of that size can differ from a set that it is linked with."""
-    return size * (100 - percent) // percent
+def keys_of(tokens: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set in the order of all sets: rare ones by hash, then common ones by hash.
 
-
-def signatures(tokens: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
-    """Signatures of a set's non-empty parts, at its level and, where a larger partner may be, at the next.
-
-    If a set has more non-empty parts than it may differ in, one of them is the same in each linked partner. The first way of cutting leaves
-    the common shingles out. Sets that have too few parts then go on with ways of cutting the whole set; two linked sets meet at
-    the first way in which one of them has enough.
+    A set shares percent of its n shingles with each linked set, so n - ceil(n * percent / 100) of them at most are missing there.
+    The first k shared ones are therefore among the first n - ceil(n * percent / 100) + k of either set.
     """
-    n, (low, parts) = len(tokens), levels(percent)
-    own = int(np.searchsorted(low, n, side="right")) - 1
-    rare = tokens
-    if len(common):
-        rare = tokens[common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] != tokens]
-    out = []
-    for level in (own, own + 1):
-        if level != own and low[level] * percent > 100 * n or not parts[level] or not allowed(n, percent):
-            continue
-        m = parts[level]
-        for seed in range(SEEDS + 1):
-            used = tokens if seed else rare
-            turned = mix(used + np.uint64((seed + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1))
-            part = ((turned >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
-            sums = np.zeros(m, np.uint64)
-            np.add.at(sums, part, mix(turned))
-            count = np.bincount(part, minlength=m)
-            full = np.flatnonzero(count)
-            tag = full.astype(np.uint64) + np.uint64(level << 48) + np.uint64(seed << 40)
-            out.append(mix(sums[full] ^ mix(tag + np.uint64(0x1234567))) + count[full].astype(np.uint64))
-            if len(full) > allowed(n, percent):
-                break
-        else:  # never seen; such sets meet in their empty parts as well
-            blank = np.flatnonzero(count == 0).astype(np.uint64)
-            out.append(mix(blank + np.uint64(level << 48) + np.uint64(99 << 40)))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+    n = len(tokens)
+    if len(common) and n:
+        shared = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens
+        tokens = np.concatenate([tokens[~shared], tokens[shared]])
+    return tokens[: n - -(-n * percent // 100) + least_shared(n)]
 
 
 def common_shingles(documents: DataFrame, words: int, doc_id: str, text: str) -> np.ndarray:
@@ -243,144 +202,123 @@ def digests(tokens: np.ndarray) -> tuple[int | None, int | None]:
 
 
 def scan(documents: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n (size of the set), d1 and d2 (digest of the set, null if empty), signatures; written once."""
+    """doc_id, n (size of the set), d1 and d2 (digest of the set, null if empty), keys; written once."""
     common = common_shingles(documents, words, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, SLICE_BYTES):
                 sets = shingle_sets([t or "" for t in part.column(text).to_pylist()], words)
-                keys = [digests(s) for s in sets]
-                marks = [signatures(s, percent, common).astype(np.int64) for s in sets]
+                marks = [digests(s) for s in sets]
+                keys = [keys_of(s, percent, common) for s in sets]
+                ends = pa.array(np.cumsum([0, *(len(k) for k in keys)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(doc_id).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([d for d, _ in keys], pa.int64()), pa.array([d for _, d in keys], pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "d1", "d2", "signatures"],
+                    [part.column(doc_id).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([d for d, _ in marks], pa.int64()), pa.array([d for _, d in marks], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys).view(np.int64)))],
+                    ["doc_id", "n", "d1", "d2", "keys"],
                 )
-        # The worker process lives on while the JVM counts signatures: give back what it holds.
+        # The worker process lives on for other tasks: give back what it holds.
         _powers.cache_clear()
         pa.default_memory_pool().release_unused()
 
-    return stash(documents.select(doc_id, text).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, signatures array<long>"), "shingles")
+    return stash(documents.select(doc_id, text).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>"), "shingles")
+
 
+def grouped_classes(owned: DataFrame, percent: int) -> DataFrame:
+    """node, n, gid and keys (those that other classes have too) of the classes that can be linked with any other.
 
-def shared_signatures(owned: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size in which the place of every signature that several rows have is set."""
-    counted = owned.select(F.explode("signatures").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 1")
-    bit = F.col("s").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    # shiftleft takes its distance from a column only through SQL; 2^63 wraps to the sign bit as it should.
-    cells = counted.select(F.shiftright(bit, 6).cast("int").alias("cell"), bit.bitwiseAND(F.lit(63)).cast("int").alias("at")).groupBy("cell").agg(F.expr("bit_or(shiftleft(1L, at))").alias("bits"))
-    got = cells.toArrow()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.int64)
-    bitmap[np.asarray(got.column("cell"))] = np.asarray(got.column("bits"))
-    return np.unpackbits(bitmap.view(np.uint8), bitorder="little")
+    owned: node, n and keys of each class.
+    """
+    cells = owned.select("node", "n", F.explode("keys").alias("key"))
+    # Counted before the shuffle as far as a task goes; written, so that the join meets plain exchanges, of which Spark can split a hot key.
+    several = stash(cells.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "keys")
+    need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / SPARE)
+    held = cells.join(sized_broadcast(several, several.count()), "key").groupBy("node").agg(F.min("n").alias("n"), F.collect_set("key").alias("keys"))
+    live = stash(held.where(F.size("keys") >= need).withColumn("label", F.array_min("keys")), "live")
+    # Each key names the label that most of its classes have; each class takes the label that most of its keys name.
+    open_ = live.select("node", "label", F.explode("keys").alias("key"))
+    hubs = open_.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("best")).select("key", F.col("best.label").alias("hub"))
+    hubs = stash(hubs, "hubs")
+    votes = open_.join(sized_broadcast(hubs, hubs.count()), "key").groupBy("node", "hub").agg(F.count("*").alias("c"))
+    placed = live.drop("label").join(votes.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("best")), "node").select("node", "n", "keys", F.col("best.hub").alias("label"))
+    placed = stash(placed, "labels")
+    sums = placed.groupBy("label").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"))
+    most = F.greatest(F.lit(GROUP_DOCS), ROOT * F.sqrt("docs"))
+    sums = sums.select("label", F.greatest(F.ceil(F.col("docs") / most), F.ceil(F.col("weight") / GROUP_SHINGLES)).alias("parts"))
+    gid = F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("parts")))
+    out = stash(placed.join(sums, "label").select("node", "n", gid.alias("gid"), "keys"), "groups")
+    discard(several, live, hubs, placed)
+    return out
 
 
-def candidate_edges(owned: DataFrame) -> DataFrame:
-    """u, v: representatives tied to the smallest representative with the same part signature."""
-    bitmap = np.packbits(shared_signatures(owned))
+def qualifying_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """ga < gb: pairs of groups of which some members may be linked, by the token-group matrix; and ga = gb for groups of two members or more.
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(bitmap).astype(bool)
-        for batch in batches:
-            lists = batch.column("signatures")
-            values = np.asarray(lists.flatten(), dtype=np.int64)
-            rep = np.repeat(np.asarray(batch.column("doc_id")), np.asarray(lists.value_lengths(), dtype=np.int64))
-            good = bits[values & ((1 << BITMAP_BITS) - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(rep[good]), pa.array(values[good])], ["rep", "s"])
+    A shared cell is a key that both unions have. Their number bounds the shared keys of any two members.
+    """
+    groups = stash(placed.groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("docs")), "sizes")
+    matrix = stash(placed.select("gid", F.explode("keys").alias("key")).distinct(), "matrix")
+    wide = matrix.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    matrix = matrix.join(wide, "key")
+    both = matrix.select("key", F.col("gid").alias("ga")).join(matrix.select("key", F.col("gid").alias("gb")), "key").where("ga < gb")
+    shared = both.groupBy("ga", "gb").agg(F.count("*").alias("c"))
+    a, b = (groups.select(F.col("gid").alias(f"g{x}"), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}")) for x in "ab")
+    fits = (F.col("c") >= 1 + F.floor(F.least("lo_a", "lo_b") / SPARE)) & (F.col("hi_a") * 100 >= F.col("lo_b") * percent) & (F.col("hi_b") * 100 >= F.col("lo_a") * percent)
+    return stash(shared.join(a, "ga").join(b, "gb").where(fits).select("ga", "gb").union(groups.where("docs > 1").select("gid", "gid")), "pairs")
 
-    few = stash(owned.select("doc_id", "signatures").mapInArrow(keep, "rep long, s long"), "signatures")
-    # Written, so that the join below meets plain exchanges, of which Spark can split a hot key.
-    hubs = stash(few.groupBy("s").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("s", "hub"), "hubs")
-    return few.join(hubs, "s").where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
 
+def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
 
-def links_within(documents: DataFrame, groups: DataFrame, classes: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """u, v: a forest of the links among the members of each candidate group; and, where u is null, d1, d2, linked: with how many rows a class is linked.
 
-    groups: node, component, n; classes: rep, d1, d2, copies. A class may come in several rows, the numbers of which add up.
-    """
-    spark = documents.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sums = groups.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"))
-    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    placed = groups.join(sums, "component").select("node", "component", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = stash(placed, "placed")
-    chosen = documents.select(doc_id, text).join(sized_broadcast(placed, placed.count()), F.col(doc_id) == F.col("node"))
+def packed_groups(documents: DataFrame, members: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
+    """One row per group: node, rep and copies of its members, the sizes of their sets, and the sets side by side. members: gid, node, rep, copies, d1, d2."""
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chosen = documents.select(F.col(doc_id).alias("rep"), F.col(text).alias("text")).join(sized_broadcast(members, members.count()), "rep")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 sets = shingle_sets([t or "" for t in part.column("text").to_pylist()], words)
-                keys = [digests(s) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("component", "blocks", "block", "node")), pa.array([d for d, _ in keys], pa.int64()), pa.array([d for _, d in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["component", "blocks", "block", "node", "d1", "d2", "tokens"],
-                )
+                # An id may have other texts, which belong to other classes.
+                own = [digests(s) == d for s, d in zip(sets, zip(part.column("d1").to_pylist(), part.column("d2").to_pylist(), strict=True), strict=True)]
+                kept = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("gid", *MEMBER)), pa.array([s.tobytes() for s in sets], pa.binary())], ["gid", *MEMBER, "tokens"])
+                yield kept.filter(pa.array(own, pa.bool_()))
+        _powers.cache_clear()
+        pa.default_memory_pool().release_unused()
 
-    cut = chosen.select("component", "blocks", "block", "node", F.col(text).alias("text")).mapInArrow(tokens, "component long, blocks int, block int, node long, d1 long, d2 long, tokens binary")
-    # An id may have other texts, whose classes are another id's.
-    own = stash(classes.select(F.col("rep").alias("node"), "d1", "d2", "copies").join(groups.select("node"), "node"), "own")
-    sets = stash(cut.join(sized_broadcast(own, own.count()), ["node", "d1", "d2"]).select("component", "blocks", "block", *MEMBER, "tokens"), "sets")
-
-    def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
-
-    def grouped(rows: Iterator[tuple], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
-        key, held = None, []
-        for row in rows:
-            if row[:keys] != key:
-                if held:
-                    yield key, held
-                key, held = row[:keys], []
-            held.append(row[keys:])
-        if held:
-            yield key, held
-
-    def result(members: list[tuple], found: tuple[list[tuple[int, int]], np.ndarray]) -> pa.RecordBatch:
-        links, linked = found
-        some = np.flatnonzero(linked).tolist()
-        rows = [(members[a][0], members[b][0], None, None, None) for a, b in links] + [(None, None, members[i][1], members[i][2], int(linked[i])) for i in some]
-        return pa.RecordBatch.from_pydict({c: [r[i] for r in rows] for i, c in enumerate(LINKS)}, schema=pa.schema([(c, pa.int64()) for c in LINKS]))
-
-    def once(held: list[tuple]) -> list[tuple]:
-        """Rows that repeat an id and its text are one member."""
-        return list({h[:3]: h for h in held}.values())
-
-    def copies_of(members: list[tuple]) -> np.ndarray:
-        return np.array([m[3] for m in members], dtype=np.int64)
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in grouped(rows_of(batches, "component", *MEMBER, "tokens"), 1):
-            held = once(held)
-            yield result(held, group_links([np.frombuffer(h[4], np.uint64) for h in held], percent, copies_of(held)))
-
-    deal = F.pmod(F.xxhash64("component") + F.col("block"), F.lit(tasks)).cast("int")
-    small = sets.where("blocks = 1").repartitionById(tasks, deal).sortWithinPartitions("component").mapInArrow(whole, LINKS_DDL)
+    kind = pa.schema([("gid", pa.int64()), *((c, pa.list_(pa.int64())) for c in MEMBER), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("component", pa.int64()), ("blocks", pa.int32()), ("block", pa.int32()), *((c, pa.list_(pa.int64())) for c in MEMBER), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary())])
-        for (component, blocks, block), held in grouped(rows_of(batches, "component", "blocks", "block", *MEMBER, "tokens"), 3):
-            held = once(held)
+        for gid, rows in itertools.groupby(rows_of(batches, "gid", *MEMBER, "tokens"), key=lambda r: r[0]):
+            held = list({r[1]: r[1:] for r in rows}.values())  # rows that repeat an id and its text are one member
             lists = {c: [[h[i] for h in held]] for i, c in enumerate(MEMBER)}
-            yield pa.RecordBatch.from_pydict({"component": [component], "blocks": [blocks], "block": [block], **lists, "sizes": [[len(h[4]) // 8 for h in held]], "tokens": [b"".join([h[4] for h in held])]}, schema=kind)
+            yield pa.RecordBatch.from_pydict({"gid": [gid], **lists, "sizes": [[len(h[3]) // 8 for h in held]], "tokens": [b"".join([h[3] for h in held])]}, schema=kind)
 
-    block_ddl = f"component long, blocks int, block int, {', '.join(f'{c} array<long>' for c in MEMBER)}, sizes array<int>, tokens binary"
-    packed = stash(sets.where("blocks > 1").repartitionById(tasks, deal).sortWithinPartitions("component", "block").mapInArrow(pack, block_ddl), "blocks")
+    cut = chosen.select("gid", *MEMBER, "d1", "d2", "text").mapInArrow(tokens, f"gid long, {', '.join(f'{c} long' for c in MEMBER)}, tokens binary")
+    block_ddl = f"gid long, {', '.join(f'{c} array<long>' for c in MEMBER)}, sizes array<int>, tokens binary"
+    return stash(cut.repartitionById(tasks, F.pmod(F.col("gid"), F.lit(tasks)).cast("int")).sortWithinPartitions("gid").mapInArrow(pack, block_ddl), "packed")
 
-    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), held in grouped(rows_of(batches, "component", "i", "j", *MEMBER, "sizes", "tokens"), 3):
-            if i != j and len(held) == 1:  # the other block has no members
-                continue
-            members = [m for h in held for m in zip(*h[:4], strict=True)]
-            cut = [np.split(np.frombuffer(h[5], np.uint64), np.cumsum(h[4])[:-1]) for h in held]
-            yield result(members, group_links([s for c in cut for s in c], percent, copies_of(members), len(cut[0]) if len(held) > 1 else None))
 
-    pairs = packed.select("component", "blocks", "block", *MEMBER, "sizes", "tokens", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("component", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *MEMBER, "sizes", "tokens")
-    number = F.xxhash64("component") + F.col("i") * F.col("blocks") - F.shiftright(F.col("i") * (F.col("i") - 1), 1) + F.col("j") - F.col("i")
-    large = pairs.repartitionById(tasks, F.pmod(number, F.lit(tasks)).cast("int")).sortWithinPartitions("component", "i", "j").mapInArrow(between, LINKS_DDL)
-    return small.union(large)
+def opened_links(packed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """u, v: reps of linked classes, a forest of each opened pair; and, where u is null, node, linked: with how many rows of a pair a class is linked."""
+    tasks = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (a, b), rows in itertools.groupby(rows_of(batches, "ga", "gb", *MEMBER, "sizes", "tokens"), key=lambda r: r[:2]):
+            held = [r[2:] for r in rows]
+            members = [m for h in held for m in zip(*h[:3], strict=True)]
+            cut = [np.split(np.frombuffer(h[4], np.uint64), np.cumsum(h[3])[:-1]) for h in held]
+            links, linked = group_links([s for c in cut for s in c], percent, np.array([m[2] for m in members], dtype=np.int64), None if a == b else len(cut[0]))
+            some = np.flatnonzero(linked).tolist()
+            found = [(members[x][1], members[y][1], None, None) for x, y in links] + [(None, None, members[i][0], int(linked[i])) for i in some]
+            yield pa.RecordBatch.from_pydict({c: [r[i] for r in found] for i, c in enumerate(("u", "v", "node", "linked"))}, schema=pa.schema([(c, pa.int64()) for c in ("u", "v", "node", "linked")]))
+
+    sides = pairs.select("ga", "gb", F.explode(F.array_distinct(F.array("ga", "gb"))).alias("gid"))
+    # The smaller side is the pairs; groups are bounded in size, so a row of either is too.
+    units = packed.join(sized_broadcast(sides, sides.count()), "gid").select("ga", "gb", "gid", *MEMBER, "sizes", "tokens")
+    deal = F.pmod(F.xxhash64("ga", "gb"), F.lit(tasks)).cast("int")
+    return stash(units.repartitionById(tasks, deal).sortWithinPartitions("ga", "gb", "gid").mapInArrow(run, LINKS_DDL), "links")
 
 
 def jaccard_join(documents: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -388,22 +326,30 @@ def jaccard_join(documents: DataFrame, words: int = 5, percent: int = 80, doc_id
 
     Words are lower-cased (A-Z) and cut at white space; a text with fewer words than a shingle is one shingle; texts without words, and null
     texts, are linked with nothing. component_id is the smallest doc_id reachable by links; n_links is the number of other rows (not null in doc_id)
-    that the row is linked with. Rows of one doc_id are one node; a null doc_id has a null component and links nothing. Extra columns play no part; an empty table gives no rows.
+    that the row is linked with. Rows of one doc_id are one node, whatever their texts; a null doc_id has a null component and links nothing. Extra columns
+    play no part; an empty table gives no rows.
     """
     scanned = scan(documents, words, percent, doc_id, text)
     full = scanned.where("n > 0 and doc_id is not null")
-    classes = stash(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count("*").alias("copies")), "classes")
-    many = classes.where("copies > 1").select("d1", "d2", "rep")
-    copies = stash(full.select("doc_id", "d1", "d2").join(sized_broadcast(many, many.count()), ["d1", "d2"]).where("doc_id <> rep").select("doc_id", "d1", "d2"), "copies")
-    owned = full.join(sized_broadcast(copies, copies.count()), ["doc_id", "d1", "d2"], "left_anti").where(F.size("signatures") > 0)
-    groups = connected_components(candidate_edges(owned))
-    sizes = classes.select(F.col("rep").alias("node"), "n").groupBy("node").agg(F.max("n").alias("n"))
-    groups = stash(groups.join(sizes, "node"), "groups")
-    found = stash(links_within(documents, groups, classes, words, percent, doc_id, text), "links")
-    linked = found.where("u is null").groupBy("d1", "d2").agg(F.sum("linked").alias("linked"))
-    ends = connected_components(found.where("u is not null").select("u", "v"))
-    named = classes.join(ends.select(F.col("node").alias("rep"), "component"), "rep", "left").join(linked, ["d1", "d2"], "left")
+    classes = stash(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    known = sized_broadcast(classes.select(F.col("rep").alias("doc_id"), "d1", "d2", "node"), classes.count())
+    owned = full.join(known, ["doc_id", "d1", "d2"]).select("node", "n", "keys")
+    placed = grouped_classes(owned, percent)
+    pairs = qualifying_pairs(placed, percent)
+    members = stash(placed.select("node", "gid").join(classes, "node").select("gid", *MEMBER, "d1", "d2"), "members")
+    packed = packed_groups(documents, members, words, doc_id, text)
+    found = opened_links(packed, pairs, percent)
+    discard(placed, pairs, members, packed)
+    linked = found.where("u is null").groupBy("node").agg(F.sum("linked").alias("linked"))
+    # The classes of an id that has several texts are one node.
+    rows = full.select("doc_id", "d1", "d2")
+    mixed = rows.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("a"), F.max(F.struct("d1", "d2")).alias("b")).where("a <> b").select("doc_id")
+    tied = rows.join(mixed, "doc_id").join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    ends = connected_components(found.where("u is not null").select("u", "v").union(tied))
+    named = classes.join(ends.select(F.col("node").alias("rep"), "component"), "rep", "left").join(linked, "node", "left")
     named = named.select("d1", "d2", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    out = scanned.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
+    named = stash(named, "named")
+    discard(found, classes)
+    out = scanned.select("doc_id", "n", "d1", "d2").join(sized_broadcast(named, named.count()), ["d1", "d2"], "left")
     known = F.col("doc_id").isNotNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce(F.when(known, F.col("n_links")), F.lit(0)).cast("long").alias("n_links"))

@@ -33,13 +33,6 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm import jaccard_join as op
 
-    return op.jaccard_join(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
-
-
-def op3_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same join with each document's number of links."""
-    from tessella.llm import jaccard_join as op
-
     return op.jaccard_join(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=90)
 
 
@@ -95,7 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_personal_data": op2_personal_data,
     "op3_jaccard_join": op3_jaccard_join,
-    "op3_jaccard_links": op3_jaccard_links,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_language_id": op5_language_id,
     "op6_nearest": op6_nearest,

@@ -146,7 +146,7 @@ def test_jaccard_join(spark, odd, empty, words, percent):
 
 
 def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(jaccard_join, "GROUP_DOCS", 16)
     rng, base = random.Random(3), [f"w{i}" for i in range(120)]
     texts = {}
     for i in range(90):
@@ -161,7 +161,7 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
 
 @pytest.mark.parametrize("block", [16, 128])
 def test_every_link_is_counted(spark, monkeypatch, block):
-    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", block)
+    monkeypatch.setattr(jaccard_join, "GROUP_DOCS", block)
     rng, base = random.Random(5), [f"w{i}" for i in range(120)]
     rows = [(None, " ".join(base)), (7, "alone in the world"), (8, None)]
     for i in range(100, 160):
@@ -183,6 +183,38 @@ def test_every_link_is_counted(spark, monkeypatch, block):
     assert len({n for _, _, n in want}) > 5
 
 
+def test_texts_of_one_id_are_one_node(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(2, b), (5, a), (5, b), (7, a), (9, "quite another text that stands alone"), (None, a)]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert sorted((r.doc_id or -1, r.component_id) for r in got) == [(-1, None), (2, 2), (5, 2), (5, 2), (7, 2), (9, 9)]
+
+
+def test_large_families_compare_pairs_once(spark, monkeypatch):
+    """Thousands of near copies and of texts that share a passage: every pair is compared at most once, strangers hardly at all."""
+    rng = random.Random(9)
+    base, passage = [f"w{i}" for i in range(120)], " ".join(f"p{i}" for i in range(30))
+    texts = []
+    for _ in range(1500):
+        copy = list(base)
+        copy[rng.randrange(120)] = f"v{rng.randint(0, 400)}"
+        texts.append(" ".join(copy))
+    texts += [passage + " " + " ".join(f"x{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(1500)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scanned = jaccard_join.scan(frame, 3, 90, "doc_id", "text")
+    classes = scanned.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("keys").alias("keys"))
+    placed = jaccard_join.grouped_classes(classes.select("node", "n", "keys"), 90)
+    n = placed.count()
+    assert placed.where("node >= 1500").count() < 50  # texts with a passage alone are dropped by their keys
+    docs = {r.gid: r["count"] for r in placed.groupBy("gid").count().collect()}
+    pairs = jaccard_join.qualifying_pairs(placed, 90).collect()
+    assert len({(r.ga, r.gb) for r in pairs}) == len(pairs) <= 40 * len(docs)
+    assert sum(docs[r.ga] * docs[r.gb] if r.ga != r.gb else docs[r.ga] * (docs[r.ga] - 1) // 2 for r in pairs) <= n * (n - 1) // 2
+    got = jaccard_join.jaccard_join(frame, 3, 90).collect()
+    assert {r.component_id for r in got if r.doc_id < 1500} == {0}
+    assert all(r.component_id == r.doc_id and r.n_links == 0 for r in got if r.doc_id >= 1500)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]

@@ -29,3 +29,20 @@ def test_stages(spark, sf_dir):
     assert all(taken[i] * size == t for i, (size, t) in plan.items())
     out = P.encode_pieces(spark, mixed, sf_dir)
     assert out.count() == mixed.count() and out.where("not round_trip").count() == 0
+
+
+def test_one_row_of_each_group_stays(spark, sf_dir):
+    base = [f"w{i}" for i in range(100)]
+    near = " ".join([*base[:50], "changed", *base[51:]])
+    rows = [(None, " ".join(base)), (3, near), (3, near), (None, near), (4, "another text"), (4, "yet another text of this id"), (None, None), (None, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row int")
+    kept = P.drop_near_copies(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or -1, r.text) for r in kept.collect()), key=str) == sorted([(3, near), (4, "another text"), (4, "yet another text of this id"), (-1, None), (-1, None), (8, "")], key=str)
+
+
+def test_empty_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in P.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.count() == 0
