@@ -24,10 +24,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; texts without words and null ids stay."""
-    found = jaccard_join.jaccard_join(docs, WORDS, PERCENT)
-    dropped = stash(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    return docs.join(sized_broadcast(dropped, dropped.count()), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of linked documents the row with the smallest id, null ids last; of rows that repeat it one. Texts without words stay."""
+    rows = stash(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.monotonically_increasing_id().alias("row")), "rows")
+    found = jaccard_join.jaccard_join(rows.select("row", "whole.text"), WORDS, PERCENT, doc_id="row")
+    linked = stash(found.where("n_links > 0").select(F.col("doc_id").alias("row"), "component_id"), "linked")
+    n = linked.count()
+    named = rows.select("row", "whole.doc_id").join(sized_broadcast(linked, n), "row")
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("best")).select("component_id", F.col("best.row").alias("kept"))
+    dropped = stash(linked.join(sized_broadcast(best, n), "component_id").where("row <> kept").select("row"), "dropped")
+    return rows.join(sized_broadcast(dropped, n), "row", "left_anti").select("whole.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
