@@ -27,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one if that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a single machine, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "tessella-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/tessella"
@@ -47,13 +49,18 @@ def stash(frame: DataFrame, kind: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Remove the files of stashed frames that nothing will read again. What is gone already is passed over."""
+    """Remove the files of stashed frames that nothing will read again. What is gone already is passed over.
+
+    The exchanges of the jobs that wrote them are no longer needed either; Spark removes an exchange's files once its plan has been collected as garbage.
+    """
     for frame in frames:
         spark, shared = frame.sparkSession, shared_dir(frame.sparkSession)
         for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
             if shared.split("://")[-1].lstrip("/") in folder:
                 path = spark._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
 
 
 def sized_broadcast(frame: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -61,6 +68,17 @@ def sized_broadcast(frame: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(frame) if rows <= limit else frame
 
 
+def unused(frame: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of the frame is called so, whatever the case."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def word_count(text: Column) -> Column:
     """Number of words between runs of WORD_GAP, as long; null has none."""
     parts = F.size(F.split(text, WORD_GAP))
@@ -87,16 +105,21 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def ordered_buckets(frame: DataFrame, key: str, text: str, bucket_bytes: int = 8 << 20) -> tuple[DataFrame, int, list[int]]:
-    """Deal rows to buckets that are disjoint, ascending ranges of a long key.
+def ordered_buckets(frame: DataFrame, key: str, text: str, bucket_bytes: int = 8 << 20) -> tuple[DataFrame, int, list[tuple[int, int]]]:
+    """Deal rows to buckets that are disjoint, ascending ranges of a long key; rows with a null key come last, in the order of their text's hash.
 
-    Adds `_bucket`; returns the frame, the number of buckets and each bucket's smallest key. Bounds are
-    quantiles of the key over all rows, so each bucket holds rows and about bucket_bytes of text. Null keys go to the last bucket.
+    Adds `_bucket` and `_at` (the key, or the hash); returns the frame, the number of buckets, and (bucket, smallest `_at`) of each bucket that has rows.
+    Bounds are quantiles of the key over all rows, so a bucket holds rows of about bucket_bytes of text; above 20,000 buckets they grow,
+    so who reads them must take their rows one after the other.
     """
     spark = frame.sparkSession
-    rows, size = frame.agg(F.count(key), F.sum(F.octet_length(text))).first()
-    wanted = max(int(size or 0) // bucket_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    wanted = max(1, min(wanted, rows // 16, 20_000))
+    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    size_of = lambda c: F.coalesce(F.sum(F.when(c, F.octet_length(text))), F.lit(0))
+    null = F.col(key).isNull()
+    rows, size, null_rows, null_size = frame.agg(F.count_if(~null), size_of(~null), F.count_if(null), size_of(null)).first()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts_of = lambda rows, size: max(1, min(max(int(size) // bucket_bytes, least), rows // 16, 20_000)) if rows else 0
+    wanted, nulls = parts_of(rows, size), parts_of(null_rows, null_size)
     bounds: list[int] = []
     if wanted > 1:
         found = frame.agg(F.percentile_approx(key, [i / wanted for i in range(1, wanted)], 20 * wanted).alias("q"), F.max(key).alias("m")).first()
@@ -107,7 +130,9 @@ def ordered_buckets(frame: DataFrame, key: str, text: str, bucket_bytes: int = 8
     fine = F.from_json(F.lit(str([bounds[i : i + step] for i in range(0, len(bounds), step)] + [[]])), "array<array<bigint>>")
     at = F.size(F.filter(coarse, lambda b: b < F.col(key)))
     within = F.size(F.filter(F.element_at(fine, at + 1), lambda b: b < F.col(key)))
-    bucket = F.when(F.col(key).isNull(), len(bounds)).otherwise(at * step + within) if bounds else F.lit(0)
-    frame = frame.withColumn("_bucket", bucket.cast("int"))
-    heads = frame.groupBy("_bucket").agg(F.min(key).alias("head")).orderBy("_bucket").collect() if bounds else []
-    return frame, len(bounds) + 1, [h["head"] for h in heads]
+    known = len(bounds) + 1 if rows else 0
+    last = F.least(F.floor((hashed / F.lit(2.0**64) + 0.5) * nulls), F.lit(nulls - 1)) + known
+    bucket = F.when(null, last).otherwise(at * step + within if bounds else 0)
+    frame = frame.withColumn("_bucket", bucket.cast("int")).withColumn("_at", F.coalesce(F.col(key), hashed))
+    heads = frame.groupBy("_bucket").agg(F.min("_at").alias("head")).orderBy("_bucket").collect() if known + nulls > 1 else []
+    return frame, max(1, known + nulls), [(h["_bucket"], h["head"]) for h in heads]

@@ -2,8 +2,8 @@
 
 Exact for every pair of different texts. (1) Texts with the same shingle set are one class. (2) All sets follow one order of shingles (by
 hash, those that a sample shows in several documents last). Of each set only a prefix is a key: so long that two linked sets of n
-shingles have 1 + n / SPARE of their keys in common. Keys that one class alone has are dropped, and with them each class that
-has too few left to be linked with anything. (3) The classes left are partitioned into groups of similar sets, by a common key and one round
+shingles have 1 + n / SPARE of their keys in common. Keys that one class alone has are dropped (each task first settles what its own
+texts share, and sends two classes of a key at most), and with them each class that has too few left to be linked with anything. (3) The classes left are partitioned into groups of similar sets, by a common key and one round
 of moving each class to where most of its keys are. The token-group matrix holds each group's union of keys. (4) Groups are looked up in
 the matrix by a join on the key: the number of shared cells bounds the overlap of each member of one group with each of the
 other, and only pairs of groups that reach it, with sizes that fit, are opened. (5) In an opened pair a finer matrix, over all
@@ -34,11 +34,13 @@ COMMON_IN = 3
 #: Two linked sets of n shingles or more share 1 + n // SPARE keys at least. Any choice gives the same result.
 SPARE = 20
 #: Sets of a group: so many, or for large families ROOT times the root of their number, as long as their shingles are no more than GROUP_SHINGLES.
-GROUP_DOCS = 128
+GROUP_DOCS = 512
 ROOT = 4
 GROUP_SHINGLES = 1 << 19
 SUBGROUP = 16
 SLICE_BYTES = 1 << 19
+#: Bytes of text whose keys one task compares.
+BUCKET_BYTES = 32 << 20
 MEMBER = ("node", "rep", "copies")
 LINKS_DDL = "u long, v long, node long, linked long"
 
@@ -201,44 +203,107 @@ def digests(tokens: np.ndarray) -> tuple[int | None, int | None]:
     return int(first), int(second)
 
 
-def scan(documents: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n (size of the set), d1 and d2 (digest of the set, null if empty), keys; written once."""
+def scan(documents: DataFrame, words: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, int]:
+    """Written once: a row of doc_id, n (size of the set), d1 and d2 (digest of the set, null if empty) for every document; and, with a
+    bucket, rows that hold keys and the d1 of their classes side by side, bucket -1 those of which a task knows already that several classes have them.
+    The number of buckets comes second.
+    """
     common = common_shingles(documents, words, doc_id, text)
+    size = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bucket", pa.int32()), ("cells", pa.binary())])
+
+    def packed(keys: list[np.ndarray], classes: list[int]) -> pa.RecordBatch:
+        own = np.repeat(np.array(classes, dtype=np.int64), [len(k) for k in keys])
+        key, own = distinct_cells(np.concatenate(keys) if keys else np.zeros(0, np.uint64), own)
+        place, count = places(key)
+        several, sent = count > 1, place < 2
+        at = ((key[sent] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(at, prepend=-1, append=-1))
+        rows = [(-1, key[several], own[several])] + [(int(at[i]), key[sent][i:j], own[sent][i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        none = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].tobytes() + r[2].tobytes() for r in rows], pa.binary())], schema=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys, classes = [], []
             for part in slices(batch, text, SLICE_BYTES):
                 sets = shingle_sets([t or "" for t in part.column(text).to_pylist()], words)
                 marks = [digests(s) for s in sets]
-                keys = [keys_of(s, percent, common) for s in sets]
-                ends = pa.array(np.cumsum([0, *(len(k) for k in keys)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(doc_id).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([d for d, _ in marks], pa.int64()), pa.array([d for _, d in marks], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys).view(np.int64)))],
-                    ["doc_id", "n", "d1", "d2", "keys"],
-                )
+                ids = part.column(doc_id).cast(pa.int64())
+                for s, (d1, _), known in zip(sets, marks, ids.is_valid().to_pylist(), strict=True):
+                    if len(s) and known:
+                        keys.append(keys_of(s, percent, common))
+                        classes.append(d1)
+                none = [pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([d for d, _ in marks], pa.int64()), pa.array([d for _, d in marks], pa.int64()), *none], schema=kind)
+            yield packed(keys, classes)
         # The worker process lives on for other tasks: give back what it holds.
         _powers.cache_clear()
         pa.default_memory_pool().release_unused()
 
-    return stash(documents.select(doc_id, text).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>"), "shingles")
+    return stash(documents.select(doc_id, text).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bucket int, cells binary"), "shingles"), buckets
+
+
+def distinct_cells(key: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and their classes sorted by both, repeats removed."""
+    order = np.lexsort((own, key))
+    key, own = key[order], own[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+    return key[new], own[new]
+
+
+def places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of sorted keys, its place among its equals, and how many these are."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    size = np.diff(first, append=len(key))
+    return np.arange(len(key)) - np.repeat(first, size), np.repeat(size, size)
+
+
+def shared_cells(scanned: DataFrame, buckets: int) -> DataFrame:
+    """key and d1 of the classes that have a key with another class; repeats are possible."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for cells in batch.column("cells"):
+                both = np.frombuffer(cells.as_buffer(), dtype=np.int64)
+                yield both[: len(both) // 2].view(np.uint64), both[len(both) // 2 :]
+
+    def rows(key: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for low in range(0, len(key), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(key[low : low + (1 << 18)].view(np.int64)), pa.array(own[low : low + (1 << 18)])], ["key", "d1"])
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, own in opened(batches):
+            yield from rows(key, own)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(opened(batches))
+        if held:
+            key, own = distinct_cells(np.concatenate([k for k, _ in held]), np.concatenate([o for _, o in held]))
+            several = places(key)[1] > 1
+            yield from rows(key[several], own[several])
+
+    cells = scanned.where("bucket is not null").select("bucket", "cells")
+    sent = cells.where("bucket >= 0").repartitionById(buckets, F.col("bucket"))
+    return cells.where("bucket < 0").mapInArrow(known, "key long, d1 long").union(sent.mapInArrow(compared, "key long, d1 long"))
 
 
-def grouped_classes(owned: DataFrame, percent: int) -> DataFrame:
+def grouped_classes(scanned: DataFrame, buckets: int, classes: DataFrame, percent: int) -> DataFrame:
     """node, n, gid and keys (those that other classes have too) of the classes that can be linked with any other.
 
-    owned: node, n and keys of each class.
+    classes: d1, node and n of each class.
     """
-    cells = owned.select("node", "n", F.explode("keys").alias("key"))
-    # Counted before the shuffle as far as a task goes; written, so that the join meets plain exchanges, of which Spark can split a hot key.
-    several = stash(cells.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "keys")
+    held = stash(shared_cells(scanned, buckets).groupBy("d1").agg(F.collect_set("key").alias("keys")), "held")
     need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / SPARE)
-    held = cells.join(sized_broadcast(several, several.count()), "key").groupBy("node").agg(F.min("n").alias("n"), F.collect_set("key").alias("keys"))
-    live = stash(held.where(F.size("keys") >= need).withColumn("label", F.array_min("keys")), "live")
+    live = held.join(classes.select("d1", "node", "n"), "d1").where(F.size("keys") >= need)
+    live = stash(live.select("node", "n", "keys", F.array_min("keys").alias("label")), "live")
     # Each key names the label that most of its classes have; each class takes the label that most of its keys name.
     open_ = live.select("node", "label", F.explode("keys").alias("key"))
     hubs = open_.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("best")).select("key", F.col("best.label").alias("hub"))
     hubs = stash(hubs, "hubs")
-    votes = open_.join(sized_broadcast(hubs, hubs.count()), "key").groupBy("node", "hub").agg(F.count("*").alias("c"))
+    votes = open_.join(hubs, "key").groupBy("node", "hub").agg(F.count("*").alias("c"))
     placed = live.drop("label").join(votes.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("best")), "node").select("node", "n", "keys", F.col("best.hub").alias("label"))
     placed = stash(placed, "labels")
     sums = placed.groupBy("label").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"))
@@ -246,7 +311,7 @@ def grouped_classes(owned: DataFrame, percent: int) -> DataFrame:
     sums = sums.select("label", F.greatest(F.ceil(F.col("docs") / most), F.ceil(F.col("weight") / GROUP_SHINGLES)).alias("parts"))
     gid = F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("parts")))
     out = stash(placed.join(sums, "label").select("node", "n", gid.alias("gid"), "keys"), "groups")
-    discard(several, live, hubs, placed)
+    discard(held, live, hubs, placed)
     return out
 
 
@@ -329,12 +394,11 @@ def jaccard_join(documents: DataFrame, words: int = 5, percent: int = 80, doc_id
     that the row is linked with. Rows of one doc_id are one node, whatever their texts; a null doc_id has a null component and links nothing. Extra columns
     play no part; an empty table gives no rows.
     """
-    scanned = scan(documents, words, percent, doc_id, text)
+    written, buckets = scan(documents, words, percent, doc_id, text)
+    scanned = written.where("bucket is null").select("doc_id", "n", "d1", "d2")
     full = scanned.where("n > 0 and doc_id is not null")
     classes = stash(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "classes")
-    known = sized_broadcast(classes.select(F.col("rep").alias("doc_id"), "d1", "d2", "node"), classes.count())
-    owned = full.join(known, ["doc_id", "d1", "d2"]).select("node", "n", "keys")
-    placed = grouped_classes(owned, percent)
+    placed = grouped_classes(written, buckets, classes, percent)
     pairs = qualifying_pairs(placed, percent)
     members = stash(placed.select("node", "gid").join(classes, "node").select("gid", *MEMBER, "d1", "d2"), "members")
     packed = packed_groups(documents, members, words, doc_id, text)
