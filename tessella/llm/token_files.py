@@ -12,6 +12,7 @@ bitmap uint8[ceil(count / 8)] (bit order little), rank directory int64[count //
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -114,6 +115,7 @@ class TokenFile:
 def words_encoder(tokenizer_file: str, most: int = 800_000) -> Callable[[str], bytes]:
     """text -> ids as little-endian uint32, equal to the tokenizers library's encode(text, add_special_tokens=False).
 
+    Special strings inside a text get their own ids, as in the library; texts that may hold one go through its encode whole.
     The vocabulary splits at white space and between runs of letters, digits and signs, so the library's BPE model is asked
     once per distinct piece and its answers are kept, most of each kind. Texts with characters whose case, width
     or white space need the library's own normaliser go through its encode as they are. A worker process keeps the encoder
@@ -122,10 +124,10 @@ def words_encoder(tokenizer_file: str, most: int = 800_000) -> Callable[[str], b
     from tokenizers import Tokenizer, pre_tokenizers
 
     tok = Tokenizer.from_file(tokenizer_file)
-    tok.encode_special_tokens = True
     model, to_bytes = tok.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     byte_signs = {c: to_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x180)}
     specials = [t.content.lower() for t in tok.get_added_tokens_decoder().values()]
+    mark = os.path.commonprefix(specials)  # what every one of them begins with, looked for first
     # Letters, digits and white space below U+0180 are the same for Python and the library.
     # Number signs other than 0-9 and the two letter signs among them are left to the library as well.
     odd = re.compile("[^\t\n\r\x20-\x7e¡-©«-±´-¸»¿-įĲ-ſ]")
@@ -156,7 +158,7 @@ def words_encoder(tokenizer_file: str, most: int = 800_000) -> Callable[[str], b
         return found
 
     def encode(text: str) -> bytes:
-        if not odd.search(text) and not ("<|" in text and any(s in text.lower() for s in specials)):
+        if not odd.search(text) and not (specials and mark in (low := text.lower()) and any(s in low for s in specials)):
             get, get_piece = of_word.get, of_piece.get
             text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
             return b"".join([get_piece(w) or get(w) or word(w) for w in text.split()])
@@ -165,49 +167,57 @@ def words_encoder(tokenizer_file: str, most: int = 800_000) -> Callable[[str], b
     return encode
 
 
-def write_files(documents: DataFrame, encoder: Callable[[], Callable[[str], bytes]], path: str, end_id: int | None = 1, key: str = "doc_id", text: str = "text", bucket_bytes: int = 8 << 20) -> DataFrame:
-    """Write one file per bucket of ascending keys under path; return file, bucket, documents and tokens of each.
+def write_files(documents: DataFrame, encoder: Callable[[], Callable[[str], bytes]], path: str, end_id: int | None = 1, key: str = "doc_id", text: str = "text", bucket_bytes: int = 8 << 20, file_bytes: int = 16 << 20) -> DataFrame:
+    """Write one file or more per bucket of ascending keys under path; return file, bucket, documents and tokens of each.
 
-    encoder() is called once in each task and gives text -> uint32 bytes. A null text is an empty one; null keys come
-    last; rows of one key keep all, in the order of their text. A file is written under another name and then renamed, so that a task that runs again
-    leaves the same file. Extra columns play no part. Empty input: no files.
+    encoder() is called once in each task and gives text -> uint32 bytes. A task holds one file's ids at a time: about file_bytes, or one
+    longer document. A null text is an empty one; null keys come last, by hash and text; rows of one key keep all, in the order of their text.
+    A file is written under another name and then renamed, so that a task that runs again leaves the same files. Extra columns play no part. Empty input: no files.
     """
     dealt, n, _ = ordered_buckets(documents.select(key, text), key, text, bucket_bytes)
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+    kind = pa.schema([("file", pa.string()), ("bucket", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64())])
+
+    def save(bucket: int, number: int, keys: list[int | None], parts: list[bytes]) -> pa.RecordBatch:
+        offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int64)
+        data = pack(keys, offsets, np.frombuffer(b"".join(parts), dtype="<u4"))
+        name = f"{bucket:08d}-{number:06d}.tdac"
+        fs, at = pafs.FileSystem.from_uri(f"{path}/{name}" if "://" in path else f"file://{path}/{name}")
+        folder = at.rsplit("/", 1)[0]
+        fs.create_dir(folder, recursive=True)
+        own = f"{folder}/_{name}.{np.random.default_rng().integers(1 << 62):x}"
+        with fs.open_output_stream(own) as out:
+            out.write(data)
+        fs.move(own, at)
+        return pa.RecordBatch.from_pydict({"file": [name], "bucket": [bucket], "documents": [len(keys)], "tokens": [int(offsets[-1])]}, schema=kind)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
         keys: list[int | None] = []
         parts: list[bytes] = []
-        bucket = None
+        held, number, bucket = 0, 0, None
         for batch in batches:
             for b, k, t in zip(*(batch.column(c).to_pylist() for c in ("_bucket", key, text)), strict=True):
+                if keys and (b != bucket or held >= file_bytes):
+                    yield save(bucket, number, keys, parts)
+                    keys, parts, held, number = [], [], 0, number + 1 if b == bucket else 0
                 bucket = b
                 keys.append(k)
                 parts.append(encode(t or "") + end)
-        if bucket is None:
-            return
-        offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int64)
-        data = pack(keys, offsets, np.frombuffer(b"".join(parts), dtype="<u4"))
-        name = f"{path}/{bucket:08d}.tdac"
-        fs, at = pafs.FileSystem.from_uri(name if "://" in name else f"file://{name}")
-        fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
-        own = f"{at.rsplit('/', 1)[0]}/_{bucket:08d}.{np.random.default_rng().integers(1 << 62):x}"
-        with fs.open_output_stream(own) as out:
-            out.write(data)
-        fs.move(own, at)
-        yield pa.RecordBatch.from_pydict({"file": [f"{bucket:08d}.tdac"], "bucket": [bucket], "documents": [len(keys)], "tokens": [int(offsets[-1])]}, schema=pa.schema([("file", pa.string()), ("bucket", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64())]))
+                held += len(parts[-1])
+        if keys:
+            yield save(bucket, number, keys, parts)
 
-    ordered = dealt.repartitionById(n, F.col("_bucket")).sortWithinPartitions("_bucket", F.col(key).asc_nulls_last(), text)
+    ordered = dealt.repartitionById(n, F.col("_bucket")).sortWithinPartitions("_bucket", "_at", text)
     made = ordered.mapInArrow(put, "file string, bucket int, documents long, tokens long").collect()
     # Sorted here: to order the frame would run the encoding twice, once to sample the ranges.
-    return documents.sparkSession.createDataFrame(sorted(made, key=lambda r: r.bucket), "file string, bucket int, documents long, tokens long")
+    return documents.sparkSession.createDataFrame(sorted(made, key=lambda r: r.file), "file string, bucket int, documents long, tokens long")
 
 
 def read_files(spark, path: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files that manifest names."""
     starts, total = [], 0
-    for r in manifest.orderBy("bucket").collect():
+    for r in manifest.orderBy("file").collect():
         starts.append((r.file, total))
         total += r.tokens
     if not starts:
@@ -235,6 +245,7 @@ def read_files(spark, path: str, manifest: DataFrame) -> DataFrame:
 
 
 def token_files(documents: DataFrame, tokenizer_file: str, end_id: int = 1) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every row, from files written and read again; nulls, empty texts and repeats as in write_files."""
     spark = documents.sparkSession
     path = fresh_dir(spark, "tokens")
     manifest = write_files(documents, lambda: words_encoder(tokenizer_file), path, end_id)
