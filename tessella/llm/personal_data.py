@@ -1,7 +1,7 @@
 """Personal data: base patterns, and bootstrapped contextual extraction on top of them.
 
 Base matches of email, ip, card and phone are the seed entities. Their neighbouring words induce lexical patterns;
-every identifier-like token (one with a digit or @) in the same contexts is an instance of those patterns. Spark scores the graph of
+every identifier-like token (one with a digit or @, or neighbouring groups of digits) in the same contexts is an instance of those patterns. Spark scores the graph of
 patterns and instances in ROUNDS rounds: a pattern's score for a kind is the weight of its distinct instances known as
 that kind, over that of all its instances, of which unknown ones count UNKNOWN_WEIGHT; an instance's confidence is the noisy-or of its accepted patterns. The unknown
 instances of accepted patterns are the new spans. Texts are read once; all else runs on the compact table of occurrences.
@@ -18,22 +18,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessella.llm.common import sized_broadcast, slices, stash, texts_of
+from tessella.llm.common import discard, sized_broadcast, slices, stash, texts_of, unused
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 2
 MIN_SCORE = 0.8
 MIN_KNOWN = 5
 UNKNOWN_WEIGHT = 0.25
-#: The base patterns of the contract. Fixed values.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The base patterns of the contract, each in a form that looks at a character a bounded number of times. Fixed values.
+#: email is `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+`, cut at its @: what stands before it, and after it.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+#: ip is `[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)`; a match never begins inside a run of digits.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
+#: Groups of digits with single spaces between them, else one token with a digit or @.
+TOKEN = re.compile(r"(?<!\S)(?:[(+]?[0-9][0-9().-]*+(?: [(]?[0-9][0-9().-]*+)++(?!\S)|[^\s0-9@]*+[0-9@]\S*+)")
 EDGE = "\"'([{<>}])*&%$#!?.,;:|"
 AROUND = 96
+#: Patterns, of 200 characters at most, and spans up to which a side of a join is broadcast.
+MOST_PATTERNS = 50_000
+MOST_SPANS = 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -44,11 +50,24 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the email pattern: from each @ that has a domain behind it, back over what may stand before."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        if at > done and text[at - 1] in LOCAL and (found := DOMAIN.match(text, at + 1)):
+            start = at - 1
+            while start > done and text[start - 1] in LOCAL:
+                start -= 1
+            done = found.end()
+            yield start, done
+        at = text.find("@", max(done, at + 1))
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points: leftmost non-overlapping matches of each kind; failing matches are dropped."""
     out: list[tuple[str, int, int]] = []
     if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        out += [("email", *span) for span in emails(text)]
     if not DIGIT.search(text):
         return out
     if "." in text:
@@ -90,7 +109,8 @@ def occurrences(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str |
         i = 0
         for m in TOKEN.finditer(text):
             a, b = m.span()
-            a, b = a + len(m[0]) - len(m[0].lstrip(EDGE)), b - len(m[0]) + len(m[0].rstrip(EDGE))
+            area_code = m[0][0] == "(" and m[0].find(")") > 1
+            a, b = a + (0 if area_code else len(m[0]) - len(m[0].lstrip(EDGE))), b - len(m[0]) + len(m[0].rstrip(EDGE))
             while i < len(taken) and taken[i][1] <= a:
                 i += 1
             if a < b and not any(x < b and a < y for x, y in taken[i : i + 4]):
@@ -140,15 +160,16 @@ def scan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", whole
     return stash(found.withColumn("row", F.monotonically_increasing_id()), "personal")
 
 
-def score_patterns(edges: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_known: int = MIN_KNOWN) -> DataFrame:
+def score_patterns(edges: DataFrame, min_score: float = MIN_SCORE, min_known: int = MIN_KNOWN) -> DataFrame:
     """pattern, kind and score of the accepted patterns, from edges (pattern, instance, kind or null), repeats allowed.
 
     An edge is counted once for each distinct instance. An instance that is a seed of a kind anywhere is known as that kind. No seeds: no patterns.
+    Rounds end when one accepts no further pattern; as accepted ones stay, there is an end.
     """
     links = stash(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("own")), "links")
-    known = links.where("own is not null").groupBy("instance").agg(F.max("own").alias("kind"), F.lit(1.0).alias("trust"))
-    accepted = None
-    for _ in range(rounds):
+    seeds = links.where("own is not null").groupBy("instance").agg(F.max("own").alias("kind"), F.lit(1.0).alias("trust"))
+    known, accepted, n = seeds, None, 0
+    while True:
         trusted = links.join(known, "instance", "left")
         sums = trusted.groupBy("pattern").agg(
             F.count("*").alias("n"), *(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("trust"))), F.lit(0.0)).alias(k) for k in KINDS)
@@ -157,24 +178,30 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS, min_score: float = MI
         every = sum((F.col(k) for k in KINDS[1:]), F.col(KINDS[0]))
         weight = every + UNKNOWN_WEIGHT * F.greatest(F.col("n") - every, F.lit(0.0))
         scored = sums.select("pattern", weight.alias("weight"), best.alias("best")).select("pattern", F.col("best.kind").alias("kind"), F.try_divide(F.col("best.known"), F.col("weight")).alias("score"), F.col("best.known").alias("known"))
-        accepted = stash(scored.where((F.col("score") >= min_score) & (F.col("known") >= min_known)).select("pattern", "kind", "score"), "patterns")
-        votes = links.join(accepted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("trust"))
-        seeds = links.where("own is not null").select("instance", F.col("own").alias("kind"), F.lit(1.0).alias("trust"))
-        known = seeds.union(votes.select("instance", "kind", "trust")).groupBy("instance").agg(F.max(F.struct("trust", "kind")).alias("b")).select("instance", F.col("b.kind").alias("kind"), F.col("b.trust").alias("trust"))
-    return accepted
+        now = scored.where((F.col("score") >= min_score) & (F.col("known") >= min_known)).select("pattern", "kind", "score")
+        if accepted is not None:
+            now = accepted.unionByName(now.join(accepted.select("pattern"), "pattern", "left_anti"))
+        accepted = stash(now, "patterns")
+        before, n = n, accepted.count()
+        if n == before:
+            discard(links)
+            return accepted
+        votes = links.join(sized_broadcast(accepted, n, MOST_PATTERNS), "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("trust"))
+        both = seeds.select("instance", "kind", "trust").union(votes.select("instance", "kind", "trust"))
+        known = both.groupBy("instance").agg(F.max(F.struct("trust", "kind")).alias("b")).select("instance", F.col("b.kind").alias("kind"), F.col("b.trust").alias("trust"))
 
 
 def new_spans(scanned: DataFrame) -> tuple[DataFrame, int]:
-    """row and added (kind, start, end) of the documents in which accepted patterns find unseen identifiers; and how many rows these are."""
+    """row and added (kind, start, end) of the documents in which accepted patterns find unseen identifiers; and how many spans these are."""
     places = scanned.select("row", F.explode("places").alias("p")).select("row", "p.*")
     edges = places.select("kind", "instance", F.explode("patterns").alias("pattern"))
     accepted = score_patterns(edges)
     n = accepted.count()
     unknown = places.where("kind is null").select("row", "start", "end", F.explode("patterns").alias("pattern"))
-    hits = unknown.join(sized_broadcast(accepted, n), "pattern").groupBy("row", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
+    hits = unknown.join(sized_broadcast(accepted, n, MOST_PATTERNS), "pattern").groupBy("row", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
     # A document's own spans only: their number is bounded by its length.
     per_row = stash(hits.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.col("best.kind").alias("kind"), "start", "end"))).alias("added")), "added")
-    return per_row, per_row.count()
+    return per_row, per_row.agg(F.coalesce(F.sum(F.size("added")), F.lit(0))).first()[0]
 
 
 def joined_spans(base: Column, added: Column) -> Column:
@@ -193,7 +220,7 @@ def find(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """
     scanned = scan(documents, doc_id, text)
     added, n = new_spans(scanned)
-    both = scanned.drop("places").join(sized_broadcast(added, n), "row", "left")
+    both = scanned.drop("places").join(sized_broadcast(added, n, MOST_SPANS), "row", "left")
     return both.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", joined_spans(F.col("base"), F.col("added")).alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_added"))
 
 
@@ -202,7 +229,8 @@ def redact(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     scanned = scan(documents, doc_id, text, whole=True)
     added, n = new_spans(scanned)
     # By row number: each text is covered at its own places, whatever its id.
-    both = scanned.select("row", "base", "whole").join(sized_broadcast(added, n, 100_000), "row", "left").select("whole.*", joined_spans(F.col("base"), F.col("added")).alias("_spans"))
+    (marked,) = unused(documents, "_spans")
+    both = scanned.select("row", "base", "whole").join(sized_broadcast(added, n, MOST_SPANS), "row", "left").select("whole.*", joined_spans(F.col("base"), F.col("added")).alias(marked))
 
     def cover(value: str, spans: str) -> str:
         out, at = [], 0
@@ -215,10 +243,10 @@ def redact(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i, marks = batch.schema.get_field_index(text), batch.column("_spans").to_pylist()
+            i, marks = batch.schema.get_field_index(text), batch.column(marked).to_pylist()
             if any(marks):
                 values = [cover(t, s) if s and t is not None else t for t, s in zip(batch.column(i).to_pylist(), marks, strict=True)]
                 batch = batch.set_column(i, batch.schema.field(i).with_type(pa.string()), pa.array(values, pa.string()))
-            yield batch.drop_columns(["_spans"])
+            yield batch.drop_columns([marked])
 
     return both.mapInArrow(run, documents.schema)
