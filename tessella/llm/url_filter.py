@@ -76,10 +76,11 @@ def features(host: Column, path: Column) -> Column:
     """Distinct feature numbers of the n-grams of host and path, 1 to DIMENSIONS - 1; 0 is the bias."""
 
     def grams(text: Column, n: int, tag: str) -> Column:
-        whole = F.concat(F.lit("^"), text, F.lit("$"))
-        count = F.length(whole) - (n - 1)
-        cut = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.concat(F.lit(tag), F.substring(whole, i, F.lit(n))))
-        return F.when(count >= 1, cut).otherwise(F.array().cast("array<string>"))
+        # Characters as an array, in which a place is found at once however long the url is.
+        chars = F.regexp_extract_all(F.concat(F.lit("^"), text, F.lit("$")), F.lit("(?s)."), F.lit(0))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(1)))
+        cut = F.transform(F.array(chars), lambda c: F.transform(starts, lambda i: F.concat(F.lit(tag), *(F.try_element_at(c, i + k) for k in range(n)))))
+        return F.when(F.size(chars) >= n, F.element_at(cut, 1)).otherwise(F.array().cast("array<string>"))
 
     every = F.concat(*(grams(part, n, tag) for part, tag in ((host, "h"), (path, "p")) for n in GRAMS))
     numbers = F.transform(every, lambda g: (F.pmod(F.xxhash64(g), F.lit(DIMENSIONS - 1)) + 1).cast("int"))
