@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import stash
+from tessella.llm.common import stash, unused
 
 #: The hash has LEVELS digits of DIGIT_BITS bits.
 DIGIT_BITS, LEVELS = 12, 5
@@ -22,9 +22,9 @@ SHARE = 1.5
 CAP = 2.0
 
 
-def id_hash(doc_id: Column) -> Column:
-    """60 bits of the md5 of the id as text, so that SQL elsewhere can follow; a null id hashes as empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
+def id_hash(doc_id: Column, text: Column) -> Column:
+    """60 bits of the md5 of the id as text, so that SQL elsewhere can follow; rows without an id are told apart by their text."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("t"), text), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, cap: float = CAP) -> list[float]:
@@ -107,24 +107,31 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     """Add source_size, target and taken to rows that have source, size and h.
 
     taken is size times the copies that the mix takes, 0 up to cap. Null source is a source of its own, the last.
-    Rows of one hash (repeated ids) are kept or left together. An empty table gives an empty result.
+    Rows of one hash (repeated ids; equal texts without an id) are kept or left together. Columns of the three names are replaced. An empty table gives an empty result.
     """
     sized = sized.drop("source_size", "target", "taken")
-    plan = mixing_plan(sized, weights, share, cap)
+    copies, bound, of = unused(sized, "_copies", "_bound", "_source")
+    plan = mixing_plan(sized, weights, share, cap).select(F.col("_source").alias(of), "source_size", "target", F.col("_copies").alias(copies), F.col("_bound").alias(bound))
     # One row per source: its size does not grow with the documents.
-    joined = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["_source"]), "left")
-    copies = F.col("_copies") + F.when(F.col("h") < F.col("_bound"), 1).otherwise(0)
-    return joined.withColumn("taken", (F.col("size") * copies).cast("long")).drop("_source", "_copies", "_bound")
+    joined = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan[of]), "left")
+    times = F.col(copies) + F.when(F.col("h") < F.col(bound), 1).otherwise(0)
+    return joined.withColumn("taken", (F.col("size") * times).cast("long")).drop(of, copies, bound)
 
 
 def mixed_documents(documents: DataFrame, size: Column) -> DataFrame:
-    """The documents as often as the mix takes them: left out, once or more. Columns and rows are otherwise as they were."""
+    """The documents as often as the mix takes them: left out, once or more. Columns and rows are otherwise as they were.
+
+    Each row is decided by its own id, or, without one, by its text, so repeated rows go together; texts without words and null texts have size 0, and as many
+    copies as their hash gives. An empty table gives no rows.
+    """
     plan = mixing_plan(sized_documents(documents, size)).drop("source_size", "target")
-    joined = documents.join(F.broadcast(plan), documents["source"].eqNullSafe(plan["_source"]), "left")
-    copies = F.col("_copies") + F.when(id_hash(F.col("doc_id")) < F.col("_bound"), 1).otherwise(0)
-    return joined.withColumn("_take", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*documents.columns)
+    of, copies, bound, times = unused(documents, "_source", "_copies", "_bound", "_times")
+    plan = plan.select(F.col("_source").alias(of), F.col("_copies").alias(copies), F.col("_bound").alias(bound))
+    joined = documents.join(F.broadcast(plan), documents["source"].eqNullSafe(plan[of]), "left")
+    taken = F.col(copies) + F.when(id_hash(F.col("doc_id"), F.col("text")) < F.col(bound), 1).otherwise(0)
+    return joined.withColumn(times, F.explode(F.array_repeat(F.lit(0), taken.cast("int")))).select(*(F.col(f"`{c}`") for c in documents.columns))
 
 
 def sized_documents(documents: DataFrame, size: Column) -> DataFrame:
     """doc_id, source, size and hash, written once to the shared folder so that texts are read once."""
-    return stash(documents.select("doc_id", "source", size.alias("size"), id_hash(F.col("doc_id")).alias("h")), "sizes")
+    return stash(documents.select("doc_id", "source", size.alias("size"), id_hash(F.col("doc_id"), F.col("text")).alias("h")), "sizes")

@@ -3,7 +3,7 @@
 OP7_MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 't' || text, '')), 1, 15) AS BIGINT) AS h
   FROM documents
 ), total AS (SELECT 1.5 * sum(size) AS t FROM sized),
 src AS (
