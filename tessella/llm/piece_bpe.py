@@ -4,7 +4,7 @@ A text is cut into units that no merge can cross (a run of spaces with the word
 units of a batch are encoded together: one flat numpy array of symbols with the unit of each. In a round every unit
 finds the smallest rank among its neighbouring pairs (a segmented minimum), merges that pair's occurrences from left to right, and
 the array is compacted; units without a pair leave. Where a merged piece could itself take part in a better
-merge, or where ranks are tied, only the leftmost occurrence is merged in a round, which keeps the order of the
+merge, or where ranks are tied, a round merges occurrences from the left only up to the first that does make such a pair, which keeps the order of the
 sequential algorithm. Characters outside the vocabulary become their UTF-8 bytes.
 """
 
@@ -83,6 +83,18 @@ class PieceModel:
         found = self.pair_keys[at] == key
         return np.where(found, self.pair_rank[at], NONE).astype(np.int32), self.pair_piece[at]
 
+    def tempting(self, symbol: np.ndarray, unit: np.ndarray, rank: np.ndarray, piece: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """For each merge, those to its left being done: whether the merged piece makes a pair as good or better with a neighbour."""
+        n = len(symbol)
+        merged = np.zeros(n + 2, dtype=bool)
+        merged[hit] = True
+        left = np.where(merged[hit - 2], piece[np.maximum(hit - 2, 0)], symbol[hit - 1])
+        has_left = (hit > 0) & (unit[hit - 1] == unit[hit])
+        at = np.minimum(hit + 2, n - 1)
+        has_right = (hit + 2 < n) & (unit[at] == unit[hit])
+        best = np.minimum(np.where(has_left, self.ranks(left, piece[hit])[0], NONE), np.where(has_right, self.ranks(piece[hit], symbol[at])[0], NONE))
+        return best <= rank[hit]
+
     def merge(self, units: Sequence[str]) -> list[np.ndarray]:
         """Symbols of each unit when no pair is left."""
         done: list[np.ndarray] = [np.zeros(0, np.int32)] * len(units)
@@ -117,9 +129,13 @@ class PieceModel:
             hit = np.flatnonzero(rank == np.repeat(low, size))
             # Of overlapping occurrences (runs of neighbouring hits) every second one, from the left.
             run = np.maximum.accumulate(np.where(np.diff(hit, prepend=-2) != 1, np.arange(len(hit)), 0))
-            first = np.diff(unit[hit], prepend=-1) != 0
-            one_by_one = np.repeat(self.careful[piece[hit[first]]], np.diff(np.flatnonzero(first), append=len(hit)))
-            hit = hit[np.where(one_by_one, first, (np.arange(len(hit)) - run) % 2 == 0)]
+            hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+            first = np.flatnonzero(np.diff(unit[hit], prepend=-1))
+            if self.careful[piece[hit]].any():
+                # From the left, up to the first merge that makes a pair as good or better: that one has its turn before the others.
+                fresh = self.tempting(symbol, unit, rank, piece, hit) & self.careful[piece[hit]]
+                before = np.cumsum(fresh) - fresh
+                hit = hit[before == np.repeat(before[first], np.diff(first, append=len(hit)))]
             symbol[hit] = piece[hit]
             keep = np.ones(len(symbol), dtype=bool)
             keep[hit + 1] = False
