@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import slices, texts_of
+from tessella.llm.common import discard, slices, stash, texts_of
 
 MAX_POSITIVE = 2000
 MAX_UNLABELLED = 6000
@@ -59,6 +59,7 @@ class Model:
     _known: dict[str, float] = field(default_factory=dict, repr=False)
 
     def score(self, text: str | None) -> float:
+        """Of one whole text; null and empty texts, and texts without known words, get the bias alone."""
         tokens, known = (text or "").lower().split(), self._known
         if len(known) > 200_000:
             known.clear()
@@ -72,51 +73,61 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + SCALE * total / max(1, len(tokens)), -30, 30))))
 
 
-def fit(flat: np.ndarray, share: np.ndarray, rows: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """nnPU. flat: feature numbers, each once for a row; share: its occurrences a hundred words; rows: their row.
+def gradient(w: np.ndarray, b: float, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """Risk on positives, risk of the rest (unlabelled less positive, as negatives), and the step's gradient by weights and bias.
+
+    Sigmoid loss: l(s) = sigmoid(-s), bounded, so that a share of toxic text off the prior moves the risk little. While the
+    rest is negative, the gradient is that of the rest turned round.
+    """
+    now = w.astype(xp.dtype)  # one type throughout, else each step would copy the matrices
+    sp, su = (1 / (1 + np.exp(-np.clip((x @ now).astype(np.float64) + b, -30, 30))) for x in (xp, xu))
+    rest = float(su.mean() - prior * sp.mean())
+    slope_p, slope_u = sp * (1 - sp) / len(sp) * prior, su * (1 - su) / len(su)
+    gp, gu = (-2 * slope_p, slope_u) if rest >= 0 else (slope_p, -slope_u)
+    return float(prior * (1 - sp).mean()), rest, np.append(gp.astype(xp.dtype) @ xp + gu.astype(xp.dtype) @ xu, gp.sum() + gu.sum())
+
+
+def fit(keys: Sequence[int], x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+    """nnPU. keys: feature numbers of the columns of x, which holds occurrences a hundred words.
 
     positive and unlabelled: for each row, whether it is in that set; a row may be in both.
     """
-    n_p, n_u = int(positive.sum()), int(unlabelled.sum())
-    bias = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
-    if not n_p or not n_u or not len(flat):
-        return Model(bias if n_p else -30.0, {})
-    (pk, pn), (uk, un) = (np.unique(flat[c[rows]], return_counts=True) for c in (positive, unlabelled))
-    at = np.minimum(np.searchsorted(uk, pk), len(uk) - 1) if len(uk) else np.zeros(len(pk), dtype=int)
-    background = np.where(uk[at] == pk, un[at], 0) if len(uk) else np.zeros(len(pk))
-    # A feature is kept if its count among positives is far above what the unlabelled text lets expect (log likelihood ratio
-    # of Poisson counts), and its lift is a good part of 1 / prior, the most that a feature of toxic text alone can have.
-    expected = (background + 1) / (n_u + 1) * n_p
-    ratio = pn * np.log(pn / expected) - (pn - expected)
-    good = (pn >= 3) & (pn > expected * max(1.5, LIFT / max(prior, 1e-3))) & (ratio > EVIDENCE)
-    keys = np.sort(pk[np.flatnonzero(good)[np.argsort(-ratio[good], kind="stable")[:MAX_FEATURES]]])
-    if not len(keys):
-        return Model(bias, {})
-    column = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
-    known = keys[column] == flat
-    x = np.zeros((len(positive), len(keys)), dtype=np.float32)
-    x[rows[known], column[known]] = np.minimum(share[known], MOST_SHARE)
+    bias = prior_bias(prior)
+    if not positive.any() or not unlabelled.any() or not len(keys):
+        return Model(bias if positive.any() else -30.0, {})
+    x = np.minimum(x, MOST_SHARE)
     xp, xu = x[positive], x[unlabelled]
     w, b = np.zeros(len(keys)), bias
     m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     for t in range(1, STEPS + 1):
-        now = w.astype(np.float32)  # one type throughout, else each step would copy the matrices
-        sp, su = (1 / (1 + np.exp(-np.clip((x_ @ now).astype(np.float64) + b, -30, 30))) for x_ in (xp, xu))
-        # Sigmoid loss: l(s) = sigmoid(-s), bounded, so that a share of toxic text off the prior moves the risk little.
-        rest = su.mean() - prior * sp.mean()
-        slope_p, slope_u = sp * (1 - sp) / n_p * prior, su * (1 - su) / n_u
-        gp, gu = (-2 * slope_p, slope_u) if rest >= 0 else (slope_p, -slope_u)
-        g = np.append(gp.astype(np.float32) @ xp + gu.astype(np.float32) @ xu + DECAY * w, gp.sum() + gu.sum() + DECAY * b)
+        g = gradient(w, b, xp, xu, prior)[2] + DECAY * np.append(w, b)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - move[:-1], b - float(move[-1])
-    return Model(b, {k: c for k, c in zip(keys.tolist(), w.tolist(), strict=True) if abs(c) > 1e-3})
+    return Model(b, {k: c for k, c in zip(keys, w.tolist(), strict=True) if abs(c) > 1e-3})
+
+
+def prior_bias(prior: float) -> float:
+    return float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
+
+
+def chosen_features(counted: DataFrame, n_p: int, n_u: int, prior: float) -> list[int]:
+    """At most MAX_FEATURES features of a table (feature, p, u) of the positive and unlabelled rows that have them.
+
+    A feature is kept if its count among positives is far above what the unlabelled text lets expect (log likelihood ratio
+    of Poisson counts), and its lift is a good part of 1 / prior, the most that a feature of toxic text alone can have.
+    """
+    expected = (F.col("u") + 1) / F.lit(n_u + 1) * n_p
+    ratio = F.col("p") * F.log(F.col("p") / expected) - (F.col("p") - expected)
+    good = (F.col("p") >= 3) & (F.col("p") > expected * max(1.5, LIFT / max(prior, 1e-3))) & (ratio > EVIDENCE)
+    return sorted(r.feature for r in counted.where(good).orderBy(ratio.desc(), "feature").limit(MAX_FEATURES).collect())
 
 
 def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out: int = 5) -> Model:
     """Fit from documents and labels (doc_id, toxic), never from rows whose fold is 0. No positive rows: a constant model.
 
-    Several labels of one document count as toxic if one of them is. Only ids, bounded in number, and feature numbers reach the driver.
+    Several labels of one document count as toxic if one of them is. What reaches the driver is bounded: ids of positives, the chosen features, and the
+    sampled rows' shares of these. The bound on unlabelled rows makes the estimate of the risk coarser, by about one part in the root of their number.
     """
     spark = documents.sparkSession
     known = labels.where(fold(F.col("doc_id"), held_out) != 0).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -147,13 +158,33 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
                     shares.append((n * SCALE / len(tokens)).astype(np.float32) if tokens else n.astype(np.float32))
                 yield pa.RecordBatch.from_arrays([part.column("positive"), part.column("unlabelled"), pa.array(found, pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.float32()))], ["positive", "unlabelled", "features", "shares"])
 
-    got = picked.mapInArrow(run, "positive boolean, unlabelled boolean, features array<long>, shares array<float>").toArrow()
-    if not got.num_rows:
-        return Model(-30.0, {})
+    sample = stash(picked.mapInArrow(run, "positive boolean, unlabelled boolean, features array<long>, shares array<float>"), "sample")
+    n_p, n_u = sample.agg(F.count_if("positive"), F.count_if("unlabelled")).first()
+    prior = float(toxic) / n
+    if not n_p or not n_u:
+        return Model(prior_bias(prior) if n_p else -30.0, {})
+    each = sample.select(F.explode("features").alias("feature"), F.col("positive").cast("int").alias("p"), F.col("unlabelled").cast("int").alias("u"))
+    keys = chosen_features(each.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")), n_p, n_u, prior)
+    column = np.array(keys, dtype=np.int64)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, shares = [], []
+            for f, s in zip(batch.column("features"), batch.column("shares"), strict=True):
+                f, s = np.asarray(f.values, dtype=np.int64), np.asarray(s.values, dtype=np.float32)
+                place = np.minimum(np.searchsorted(column, f), max(len(column) - 1, 0))
+                mine = column[place] == f if len(column) else np.zeros(len(f), dtype=bool)
+                at.append(place[mine].astype(np.int32))
+                shares.append(s[mine])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(at, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["positive", "unlabelled", "places", "shares"])
+
+    got = sample.mapInArrow(narrow, "positive boolean, unlabelled boolean, places array<int>, shares array<float>").toArrow()
+    discard(sample)
     positive, unlabelled = (np.array(got.column(c).to_pylist(), dtype=bool) for c in ("positive", "unlabelled"))
-    lists, shares = (pa.concat_arrays(got.column(c).chunks) for c in ("features", "shares"))
-    lengths = np.asarray(lists.value_lengths(), dtype=np.int64)
-    return fit(np.asarray(lists.flatten(), dtype=np.int64), np.asarray(shares.flatten(), dtype=np.float32), np.repeat(np.arange(len(lengths)), lengths), positive, unlabelled, float(toxic) / n)
+    x = np.zeros((got.num_rows, len(keys)), dtype=np.float32)
+    for row, (places, shares) in enumerate(zip(got.column("places").to_pylist(), got.column("shares").to_pylist(), strict=True)):
+        x[row, places] = shares
+    return fit(keys, x, positive, unlabelled, prior)
 
 
 def score(documents: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
