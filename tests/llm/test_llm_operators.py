@@ -48,7 +48,19 @@ def test_ordered_buckets(spark):
     dealt, n, heads = ordered_buckets(frame, "k", "t", 1000)
     rows = sorted((r.k, r["_bucket"]) for r in dealt.collect())
     assert [b for _, b in rows] == sorted(b for _, b in rows) and len(heads) == n > 1
-    assert heads == [min(k for k, b in rows if b == i) for i in range(n)]
+    assert heads == [(i, min(k for k, b in rows if b == i)) for i in range(n)]
+
+
+def test_ordered_buckets_spread_null_keys(spark):
+    frame = spark.createDataFrame([(i if i % 3 == 0 else None, f"text {i} " + "x" * 50) for i in range(900)], "k long, t string")
+    dealt, n, heads = ordered_buckets(frame, "k", "t", 1000)
+    rows = dealt.collect()
+    nulls = collections.Counter(r["_bucket"] for r in rows if r.k is None)
+    assert len(nulls) > 10 and max(nulls.values()) < 100 and min(nulls) > max(r["_bucket"] for r in rows if r.k is not None)
+    for bucket, head in heads:
+        assert head == min(r["_at"] for r in rows if r["_bucket"] == bucket)
+    at = sorted((r["_bucket"], r["_at"]) for r in rows if r.k is None)
+    assert [x for _, x in at] == sorted(x for _, x in at)
 
 
 def test_url_rules_and_model(spark):
@@ -72,6 +84,13 @@ def test_url_rules_and_model(spark):
         assert got[i].rule == (rule[0] if rule else None)
         assert got[i].verdict == (rule[1] if rule else ("block" if got[i].p_unwanted >= 0.5 else "allow"))
     assert got[12].verdict == "block" and got[13].verdict == "allow"
+    # Held out: urls of both kinds that the labelled table does not have.
+    held = [(f"https://{a}-{b}.test.net/{c}/{i}", 1) for i, (a, b, c) in enumerate([("casino", "bonus", "play"), ("free", "slots", "win"), ("pills", "cheap", "order"), ("bets", "sport", "odds"), ("track", "ads", "click"), ("payday", "cash", "apply")])]
+    held += [(f"https://{a}.{b}.test.com/{c}/{i}", 0) for i, (a, b, c) in enumerate([("news", "garden", "article"), ("wiki", "school", "math"), ("museum", "library", "letters"), ("weather", "coast", "guide"), ("recipes", "clinic", "soup"), ("music", "city", "album")])]
+    said = {r.url: r.p_unwanted >= 0.5 for r in url_filter.url_filter(spark.createDataFrame(held, "url string, label int"), weights).collect()}
+    assert sum(said[u] == bool(y) for u, y in held) >= 11
+    long = spark.createDataFrame([("https://a.test.com/" + "ab🙂c" * 50_000,)], "url string")
+    assert url_filter.url_filter(long, weights).first().p_unwanted is not None
     again = {r.url: r.p_unwanted for r in url_filter.url_filter(url_filter.labelled_urls(spark), weights).collect()}
     assert all(again[u] > 0.5 for u in url_filter.UNWANTED) and all(again[u] < 0.5 for u in url_filter.WANTED)
     assert url_filter.train(spark.createDataFrame([], "url string, label int")) == [0.0] * url_filter.DIMENSIONS
@@ -96,6 +115,75 @@ def test_personal_base_and_patterns(spark, odd, empty):
     assert hidden[1] == "word reach me at [EMAIL] today" and hidden[0] == "then reach me at [EMAIL] today" and hidden[500] is None
 
 
+#: The contract's patterns as they are written there.
+CONTRACT = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_spans(text):
+    def fits(kind, s):
+        digits = [int(c) for c in s if c.isdigit()]
+        if kind == "ip":
+            return all(int(p) <= 255 for p in s.split("."))
+        if kind == "card":
+            twice = [d * 2 - 9 * (d > 4) if i % 2 else d for i, d in enumerate(reversed(digits))]
+            return 16 <= len(digits) <= 19 and sum(twice) % 10 == 0
+        return kind == "email" or 8 <= len(digits) <= 15
+
+    return [(k, *m.span()) for k, p in CONTRACT.items() for m in re.finditer(p, text) if fits(k, m[0])]
+
+
+def test_personal_base_spans_match_the_contract(spark, sf_dir, docs):
+    rng = random.Random(12)
+    bits = ["a", "Z9", "@", ".", "..", "-", " ", "+", "1", "23", "255", "256", "4539578763621486", "4539 5787-6362 1486", "(", ")", "%", "_", "é", "\n", "1.2.3.4", "x@y.z", "+1 (555) 123-4567"]
+    texts = [*("".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(6000)), *docs.text.dropna()]
+    for t in texts:
+        assert personal_data.base_spans(t) == brute_spans(t)
+    for t in ("7" * 1_000_000, "a" * 1_000_000 + "@", "@" + "b" * 1_000_000, "1." * 500_000, "a@" * 500_000, "1 " * 500_000, "+" * 1_000_000, "+1 " * 300_000):
+        personal_data.base_spans(t), personal_data.occurrences(t, [])
+    got = QUERIES["op2_personal_data"](spark, sf_dir).collect()
+    text = {i: t or "" for i, t in zip(docs.doc_id, docs.text, strict=True)}
+    assert len(got) == len(docs)
+    for r in got:
+        want = brute_spans(text[r.doc_id])
+        counts = collections.Counter(k for k, _, _ in want)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(counts[k] for k in ("email", "ip", "card", "phone"))
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert {s for s in base.split(",") if s} <= set(r.spans.split(","))
+
+
+def test_patterns_grow_until_none_is_added(spark):
+    """Seeds teach p1, p1's unknown instances teach p2, p2's teach p3, p3's teach p4."""
+    edges = [("p1", i, "email") for i in range(40)] + [("p1", 100 + i, None) for i in range(12)]
+    edges += [("p2", 100 + i, None) for i in range(12)] + [("p2", 200 + i, None) for i in range(8)] + [("p3", 200 + i, None) for i in range(8)] + [("p4", 900, None)]
+    got = {r.pattern: r.kind for r in personal_data.score_patterns(spark.createDataFrame(edges, "pattern string, instance long, kind string")).collect()}
+    assert got == {"p1": "email", "p2": "email", "p3": "email"}
+
+
+def test_unseen_number_in_groups(spark):
+    rows = [(i, f"please call my desk phone +1 555 200 {1000 + i} now") for i in range(20)] + [(50, "please call my desk phone (555) 123-4567 now")]
+    got = {r.doc_id: r.spans for r in personal_data.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    a, b = map(int, got[50].split(":")[1:])
+    assert rows[-1][1][a:b] == "(555) 123-4567"
+
+
+def test_clashing_names(spark):
+    frame = spark.createDataFrame([(1, "mail a@b.org", "s", 1, 2, 3, 4, 5)], "doc_id long, text string, source string, _spans int, _source int, _copies int, _bound int, _times int")
+    assert personal_data.redact(frame).first().asDict() == {"doc_id": 1, "text": "mail [EMAIL]", "source": "s", "_spans": 1, "_source": 2, "_copies": 3, "_bound": 4, "_times": 5}
+    assert mixing.mixed_documents(frame, word_count(F.col("text"))).columns == frame.columns
+    sized = spark.createDataFrame([(1, 5, "s", 7, 1, 2)], "doc_id long, size long, source string, h long, _copies int, _bound int")
+    assert mixing.mix(sized).columns == [*sized.columns, "source_size", "target", "taken"]
+
+
+def test_mixing_without_ids(spark):
+    frame = spark.createDataFrame([(None, f"some words of text {i}", "ab"[i % 2]) for i in range(800)], "doc_id long, text string, source string")
+    got = mixing.mix(mixing.sized_documents(frame, word_count(F.col("text")))).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 10 for r in got)
+
+
 def test_redact_null_and_repeated_ids(spark):
     rows = [(None, "null id, mail a@b.org now"), (None, "no data"), (1, "mail me: long.name@example.org"), (1, "clean text that stays as it is"), (1, "ip 10.0.0.1 here"), (1, "ip 10.0.0.1 here"), (2, None)]
     rows += [(None if i % 2 else 9, f"then reach me at user{i}@x.org today") for i in range(8)] + [(None, "then reach me at secret1 today"), (9, "then reach me at secret2 today")]
@@ -201,9 +289,9 @@ def test_large_families_compare_pairs_once(spark, monkeypatch):
         texts.append(" ".join(copy))
     texts += [passage + " " + " ".join(f"x{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(1500)]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    scanned = jaccard_join.scan(frame, 3, 90, "doc_id", "text")
-    classes = scanned.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("keys").alias("keys"))
-    placed = jaccard_join.grouped_classes(classes.select("node", "n", "keys"), 90)
+    scanned, buckets = jaccard_join.scan(frame, 3, 90, "doc_id", "text")
+    classes = scanned.where("bucket is null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"))
+    placed = jaccard_join.grouped_classes(scanned, buckets, classes, 90)
     n = placed.count()
     assert placed.where("node >= 1500").count() < 50  # texts with a passage alone are dropped by their keys
     docs = {r.gid: r["count"] for r in placed.groupBy("gid").count().collect()}
@@ -306,6 +394,20 @@ def test_nearest_awkward(spark):
     got = [(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in nearest.search(frame).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 100, 2.0), (0, 4, 3, 2.236068), (100, 1, 0, 2.0), (100, 2, 1, 2.0), (100, 3, 2, 2.0), (100, 4, 3, 3.605551)]
     assert nearest.search(frame.where("false")).count() == 0
+    mixed = spark.createDataFrame([*((i, [float(i), 1.0]) for i in range(6)), (100, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
+    assert {r.vec_id for r in nearest.search(mixed).collect()} == {1, 2, 3, 4, 5}
+
+
+def test_nearest_bound_falls():
+    """Far fewer pairs are measured in full than there are, and the best are found all the same."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1024, 64))
+    index = nearest.fit(np.arange(1024), x, 1024)
+    q = x[:40] + 0.01 * rng.standard_normal((40, 64))
+    qi, xi, score = nearest.scan(index, np.arange(1024), x, np.full(40, -1), q, np.full(40, np.inf), 10)
+    gap = np.sqrt(((q[:, None] - x[None]) ** 2).sum(-1))
+    want = np.sort(gap, axis=1)[:, :10]
+    assert np.mean([np.isin(np.round(score[qi == i], 9), np.round(want[i], 9)).sum() / 10 for i in range(40)]) > 0.9
 
 
 def test_mixing(spark, odd, empty):
@@ -342,14 +444,18 @@ def test_token_files(spark, docs, odd, empty, tmp_path):
     path = vocabulary("word_bpe_49k.json")
     tok, encode = Tokenizer.from_file(path), token_files.words_encoder(path)
     rng = random.Random(7)
-    bits = ["'s", "'T", "a", "É", "é", "ß", " ", "\n", "\x0b", "\x1c", "\x85", "\xa0", "1", "²", "½", "_", "-", "@@", "…", "Σ", "ς", "İ", "🙂", "漢", "ª", "µ", "ſ", "\x00", "ł", "don't"]
+    bits = ["'s", "'T", "a", "É", "é", "ß", " ", "\n", "\x0b", "\x1c", "\x85", "\xa0", "1", "²", "½", "_", "-", "@@", "…", "Σ", "ς", "İ", "🙂", "漢", "ª", "µ", "ſ", "\x00", "ł", "don't", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|>", "<|"]
     texts = [*docs.text.dropna().tolist()[:60], *("".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(800))]
     assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
     ids = np.random.default_rng(1).integers(0, 70000, 5000).astype(np.uint32)
     file = token_files.TokenFile(token_files.pack([5, None, 9], np.array([0, 5, 5, 5000]), ids))
     assert (file.tokens() == ids).all() and all(file.token(i) == ids[i] for i in range(0, 5000, 7)) and (file.tokens(700, 3001) == ids[700:3001]).all()
     assert file.doc_ids == [5, None, 9] and token_files.TokenFile(token_files.pack([], np.array([0]), ids[:0])).n_tokens == 0
+    manifest = token_files.write_files(odd, lambda: token_files.words_encoder(path), str(tmp_path / "small"), 1, file_bytes=64)
+    assert manifest.count() > 3
+    rolled = {r.doc_id: r for r in token_files.read_files(spark, str(tmp_path / "small"), manifest).collect()}
     got = {r.doc_id: r for r in token_files.token_files(odd, path).collect()}
+    assert rolled == got
     start = 0
     for i, t in enumerate(ODD):
         want = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
@@ -385,12 +491,61 @@ def test_fingerprints(spark, odd, empty, repeat):
 def test_fingerprint_numbers(spark, odd):
     # 128 bits do not collide on demand, so the numbering is given a collision that was found.
     digest = fingerprint.digest(b"a")
-    numbers = spark.createDataFrame([(digest, bytearray(b"Z"), 0), (digest, bytearray(b"a"), 1)], "digest string, canon binary, number int")
+    numbers = spark.createDataFrame([(digest, bytearray(b"a"), 1)], "digest string, canon binary, number int")
     got = {r.doc_id: r.fingerprint for r in fingerprint._numbered(odd, numbers, "doc_id", "text").collect()}
     assert got[4] == f"{digest}-1" and got[8] == fingerprint.digest(b"same text here")
     assert fingerprint.collisions(odd, fingerprint.digests(odd)).count() == 0
 
 
+def test_fingerprints_of_colliding_digests(spark, monkeypatch):
+    """With a digest of four bits nearly all texts collide; fingerprints are still equal exactly where canonical texts are."""
+    import inspect
+
+    # The workers import the module anew, so the weak digest is put into the functions they are sent.
+    weak = "def digest(data):\n    return format(sum(data) % 16, 'x')\n"
+    source = inspect.getsource(fingerprint)
+    start = source.index("def digest(")
+    space: dict = {"__name__": "weak_fingerprint"}
+    exec(compile(source[:start] + weak + source[source.index("\n\n\n", start) :], "weak_fingerprint", "exec"), space)
+    texts = {i: t for i, t in enumerate([*ODD, *(f"number {i % 60}" for i in range(150))])}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in space["compare_with_next"](frame).collect()}
+    alone = {r.doc_id: r.fingerprint for r in space["fingerprints"](frame).collect()}
+    canon = {i: fingerprint.canonical(t or "") for i, t in texts.items()}
+    for i in texts:
+        assert alone[i] == got[i].fingerprint
+        for j in texts:
+            assert (canon[i] == canon[j]) == (got[i].fingerprint == got[j].fingerprint)
+
+
+def test_fingerprints_of_null_ids(spark):
+    rows = [(None if i % 2 else i, f"text number {i}") for i in range(300)]
+    got = fingerprint.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    shas = collections.Counter(r.edited_sha256 for r in got)
+    known = [t for i, t in rows if i is not None]
+    for a, b in zip(known[:-1], known[1:]):
+        cut = len(a) // 4
+        assert shas[hashlib.sha256((a[: len(a) - cut] + b[:cut]).encode()).hexdigest()] >= 1
+    assert len(got) == 300 and sum(r.doc_id is None for r in got) == 150
+
+
+def test_toxicity_gradient():
+    rng = np.random.default_rng(3)
+    for prior, shift in ((0.1, 0.0), (0.9, 2.0)):
+        xp, xu = rng.random((20, 4)) + shift, rng.random((30, 4)) - shift
+        w, b = np.abs(rng.standard_normal(4)), -0.3
+        plus, rest, g = toxicity.gradient(w, b, xp, xu, prior)
+        sig = lambda s: 1 / (1 + np.exp(-s))
+        assert plus == pytest.approx(prior * sig(-(xp @ w + b)).mean()) and rest == pytest.approx(sig(xu @ w + b).mean() - prior * sig(xp @ w + b).mean())
+        value = lambda w, b: (lambda p, r, _: p + r if rest >= 0 else -r)(*toxicity.gradient(w, b, xp, xu, prior))
+        for i in range(5):
+            step = np.zeros(5)
+            step[i] = 1e-5
+            slope = (value(w + step[:4], b + step[4]) - value(w - step[:4], b - step[4])) / 2e-5
+            assert g[i] == pytest.approx(slope, abs=1e-7)
+        assert (rest < 0) == (prior == 0.9)
+
+
 def test_toxicity(spark, odd, empty):
     rng = random.Random(8)
     plain, bad = [f"word{i}" for i in range(300)], ["scumbag", "idiotic", "moronic"]
