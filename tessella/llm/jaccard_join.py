@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +50,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
     up, down = np.full(n, BASE, np.uint64), np.full(n, inverse, np.uint64)
@@ -59,6 +57,28 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+#: Bytes hashed at a time, so that a text of any length takes the same room.
+PART_BYTES = 1 << 19
+UP, DOWN = _powers(PART_BYTES)
+
+
+def word_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word, places start to end of the buffer."""
+    total = np.zeros(len(start), np.uint64)
+    for low in range(0, len(buffer), PART_BYTES):
+        part = buffer[low : low + PART_BYTES]
+        i, j = np.searchsorted(end, low, side="right"), np.searchsorted(start, low + len(part))
+        if i == j:
+            continue
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(VALUES[part] * UP[: len(part)], dtype=np.uint64)])
+        s, e = np.maximum(start[i:j], low) - low, np.minimum(end[i:j], low + len(part)) - low
+        own = (sums[e] - sums[s]) * DOWN[s]
+        if start[i] < low:  # the word goes on from the part before
+            own[:1] *= np.uint64(pow(int(BASE), int(low - start[i]), 1 << 64))
+        total[i:j] += own
+    return mix(total + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's word shingles; fewer words than asked are one shingle, no words none."""
     data = [t.encode("utf-8", "surrogatepass").translate(LOWER) for t in texts]
@@ -67,9 +87,7 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     gap = GAP[buffer]
     edge = np.flatnonzero(np.diff(gap.astype(np.int8), prepend=1, append=1))
     start, end = edge[0::2], edge[1::2]
-    up, down = _powers(1 << max(20, int(len(buffer)).bit_length()))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(VALUES[buffer] * up[: len(buffer)], dtype=np.uint64)])
-    word = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    word = word_hashes(buffer, start, end)
     cut = np.searchsorted(start, begins)
 
     def joined(n: int, at: np.ndarray) -> np.ndarray:
@@ -104,7 +122,7 @@ def keys_of(tokens: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
     if len(common) and n:
         shared = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens
         tokens = np.concatenate([tokens[~shared], tokens[shared]])
-    return tokens[: n - -(-n * percent // 100) + least_shared(n)]
+    return tokens[: n - -(-n * percent // 100) + least_shared(n)].copy()
 
 
 def common_shingles(documents: DataFrame, words: int, doc_id: str, text: str) -> np.ndarray:
@@ -218,9 +236,11 @@ def scan(documents: DataFrame, words: int, percent: int, doc_id: str, text: str)
         key, own = distinct_cells(np.concatenate(keys) if keys else np.zeros(0, np.uint64), own)
         place, count = places(key)
         several, sent = count > 1, place < 2
-        at = ((key[sent] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(at, prepend=-1, append=-1))
-        rows = [(-1, key[several], own[several])] + [(int(at[i]), key[sent][i:j], own[sent][i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        rows = [(-1, key[several], own[several])]
+        key, own = key[sent], own[sent]
+        at = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(at, prepend=-1, append=-1)).tolist()
+        rows += [(int(at[i]), key[i:j], own[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
         none = pa.nulls(len(rows), pa.int64())
         return pa.RecordBatch.from_arrays([none, none, none, none, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].tobytes() + r[2].tobytes() for r in rows], pa.binary())], schema=kind)
 
@@ -239,7 +259,6 @@ def scan(documents: DataFrame, words: int, percent: int, doc_id: str, text: str)
                 yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([d for d, _ in marks], pa.int64()), pa.array([d for _, d in marks], pa.int64()), *none], schema=kind)
             yield packed(keys, classes)
         # The worker process lives on for other tasks: give back what it holds.
-        _powers.cache_clear()
         pa.default_memory_pool().release_unused()
 
     return stash(documents.select(doc_id, text).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bucket int, cells binary"), "shingles"), buckets
@@ -349,7 +368,6 @@ def packed_groups(documents: DataFrame, members: DataFrame, words: int, doc_id:
                 own = [digests(s) == d for s, d in zip(sets, zip(part.column("d1").to_pylist(), part.column("d2").to_pylist(), strict=True), strict=True)]
                 kept = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("gid", *MEMBER)), pa.array([s.tobytes() for s in sets], pa.binary())], ["gid", *MEMBER, "tokens"])
                 yield kept.filter(pa.array(own, pa.bool_()))
-        _powers.cache_clear()
         pa.default_memory_pool().release_unused()
 
     kind = pa.schema([("gid", pa.int64()), *((c, pa.list_(pa.int64())) for c in MEMBER), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary())])

@@ -233,6 +233,14 @@ def test_jaccard_join(spark, odd, empty, words, percent):
     assert jaccard_join.jaccard_join(empty, words, percent).count() == 0
 
 
+def test_word_hashes_do_not_depend_on_parts(monkeypatch):
+    texts = ["a b c d e f", "x" * 700 + " y z " + "w" * 300, "", "a b c " * 200]
+    whole = [s.tolist() for s in jaccard_join.shingle_sets(texts, 3)]
+    monkeypatch.setattr(jaccard_join, "PART_BYTES", 64)
+    assert [s.tolist() for s in jaccard_join.shingle_sets(texts, 3)] == whole
+    assert len(whole[3]) == 3 and len(set(whole[0])) == 4 and whole[2] == []
+
+
 def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "GROUP_DOCS", 16)
     rng, base = random.Random(3), [f"w{i}" for i in range(120)]
