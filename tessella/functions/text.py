@@ -1,11 +1,15 @@
 """Names and texts: tokens, squashed names, match tiers, raw literals, JSON in prose, categories of findings."""
 
-from __future__ import annotations
+import json
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CAMEL = r"(?<=[a-z0-9])(?=[A-Z])"
+from tessella.functions.cells import text_number
+
+#: Where a name is cut before a capital: after a small letter or digit, and between an acronym and a word. Fixed value.
+CAMEL = r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 MIN_PREFIX = 3
 
 
@@ -56,39 +60,92 @@ def residual(words: Column, consumed: Column) -> Column:
 
 
 def parse_raw(text: Column) -> Column:
-    """Number of a literal like '124,500 (a)' or '(3000)': footnote dropped, parentheses negative, commas ignored; else null."""
-    bare = F.trim(F.regexp_replace(text, r"\s*\([a-z]\)\s*$", ""))
-    inner = F.regexp_extract(bare, r"^\(([\d,.]+)\)$", 1)
-    digits = F.regexp_replace(F.when(inner != "", inner).otherwise(bare), ",", "")
-    value = F.when(digits.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$"), digits.try_cast("double"))
-    return F.when(inner != "", -value).otherwise(value)
+    """number and text of a literal like '124,500 (a)' or '(3000)': footnote dropped, parentheses negative, commas ignored.
+
+    Where no number is found, number is null and text is the literal as it was; else text is null.
+    """
+    bare = F.regexp_replace(F.trim(text), r"\s*\([a-z]\)\s*$", "")
+    negative = bare.startswith("(") & bare.endswith(")")
+    digits = F.regexp_replace(F.when(negative, F.substring(bare, F.lit(2), F.length(bare) - 2)).otherwise(bare), ",", "")
+    value = text_number(digits)
+    number = F.when(negative, -value).otherwise(value)
+    return F.struct(number.alias("number"), F.when(number.isNull(), text).alias("text"))
+
+
+def general(value: Column) -> Column:
+    """A number in six significant digits, without zeros at its end: 1234.5, 1e+06, 0.0001, 1e-05. Halves go up, on the shortest decimal form."""
+    shown = F.format_string("%.5e", value.cast("double"))
+    power = F.substring_index(shown, "e", -1).cast("int")
+    strip = lambda t: F.when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
+    fixed = F.lit(None).cast("string")
+    for e in range(-4, 6):
+        fixed = F.when(power == e, strip(F.format_string(f"%.{5 - e}f", value.cast("double")))).otherwise(fixed)
+    sign = F.when(power < 0, "-").otherwise("+")
+    far = F.concat(strip(F.substring_index(shown, "e", 1)), F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return F.when(value == 0, "0").otherwise(F.coalesce(fixed, far))
 
 
 def format_raw(value: Column, thousands: bool = False, parens: bool = False, footnote: str | None = None) -> Column:
-    """Text of a whole number, with thousands marks, negatives in parentheses and a footnote if wanted."""
-    size = F.abs(value).cast("bigint")
-    digits = F.format_number(size, 0) if thousands else size.cast("string")
-    signed = F.when(value < 0, F.concat(F.lit("("), digits, F.lit(")")) if parens else F.concat(F.lit("-"), digits)).otherwise(digits)
-    return F.concat(signed, F.lit(f" ({footnote})")) if footnote else signed
+    """Text of a number: with thousands marks, negatives in parentheses and a footnote if wanted.
+
+    Whole numbers with thousands marks are written in full, others with as many decimals as they have.
+    A number in parentheses has no footnote. Without any of the three, the number alone, in six significant digits.
+    """
+    size, kind = F.abs(value), "bigint"
+    whole = F.format_number(size.cast(kind), 0)
+    decimals = F.regexp_extract(size.cast("string"), r"\.(\d*[1-9])0*$", 1)
+    marked = F.when(decimals == "", whole).otherwise(F.concat(F.format_number(F.floor(size).cast(kind), 0), F.lit("."), decimals))
+    digits = marked if thousands else general(size)
+    signed = F.when(value < 0, F.concat(F.lit("-"), digits)).otherwise(digits)
+    noted = F.concat(signed, F.lit(f" ({footnote})")) if footnote else signed
+    return F.when(value < 0, F.concat(F.lit("("), digits, F.lit(")"))).otherwise(noted) if parens else noted
+
+
+def _first_object(texts: pd.Series) -> pd.Series:
+    """The first place at which a JSON object begins that can be parsed, up to its closing brace."""
+    decode = json.JSONDecoder().raw_decode
+
+    def find(text: str | None) -> str | None:
+        at = -1 if text is None else text.find("{")
+        while at >= 0:
+            try:
+                return text[at : decode(text, at)[1]]
+            except ValueError:
+                at = text.find("{", at + 1)
+        return None
+
+    return texts.map(find, na_action="ignore")
 
 
 def extract_json(text: Column) -> Column:
-    """JSON object in a text: the whole text, else the first fenced block, else from the first brace to the last; null if none parses."""
+    """JSON in a text, as it stands there: the whole text, else a block fenced as json, else any fenced block, else the first object that parses; null if there is none."""
     whole = F.regexp_replace(text, r"^\s+|\s+$", "")
-    fenced = F.regexp_replace(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1), r"\s+$", "")
-    braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    valid = lambda c: F.when(c.rlike(r"(?s)^\{.*\}$") & F.try_parse_json(c).isNotNull(), c)
-    return F.coalesce(valid(whole), valid(fenced), valid(braces))
+    fenced = [F.regexp_extract(text, rf"(?s)```{kind}\s*\n(.*?)\n```", 1) for kind in ("json", "")]
+    plain = F.coalesce(*(F.when(F.try_parse_json(c).isNotNull() & (c != ""), c) for c in (whole, *fenced)))
+    # Python sees only the texts that need it.
+    return F.coalesce(plain, F.pandas_udf(_first_object, "string")(F.when(plain.isNull() & text.contains("{"), text)))
 
 
-#: Prefix of a gate message -> category of the finding; the first that fits counts. Fixed values.
+#: Prefix of a gate message, and the category of the finding; the first that fits counts. Fixed values.
 CATEGORIES = (
-    "coverage gap", "row-key collision", "blank row key", "empty index", "dtype mismatch", "duplicate column", "column-name", "column-coverage", "column-integrity", "row-integrity", "round-trip", "computed",
+    ("coverage gap", "coverage-gap"), ("column-name", "column-name"), ("column-integrity", "column-integrity"), ("column-coverage", "column-coverage"),
+    ("row-integrity", "row-integrity"), ("row-key collision", "row-key-collision"), ("blank row key", "blank-row-key"), ("empty index", "empty-index"),
+    ("round-trip", "round-trip"), ("dtype-mismatch", "dtype-mismatch"), ("computed", "computed"),
 )
 
 
 def category(message: Column) -> Column:
     out = F.lit("other")
-    for prefix in reversed(CATEGORIES):
-        out = F.when(message.startswith(prefix), prefix.replace(" ", "-")).otherwise(out)
+    for prefix, name in reversed(CATEGORIES):
+        out = F.when(message.startswith(prefix), name).otherwise(out)
     return out
+
+
+def phrase_for(table: Column, row: Column, col: Column, unit: Column, alone: Column, seed: Column) -> Column:
+    """A question for a cell: one of several wordings, picked by a number; where the cell's labels are not alone in the workbook, the table is named."""
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    named = [say("What is the ", col, " for ", row, " in ", table, "?"), say("Look up ", col, " of ", row, " in the ", table, " table.")]
+    short = [say("What is the ", col, " of ", row, "?"), say(row, " ", col), say("How much ", col, " does ", row, " have?"), say("Show ", row, "'s ", col, ".")]
+    pick = lambda options: F.element_at(F.array(*options), (F.pmod(seed, F.lit(len(options))) + 1).cast("int"))
+    unit_said = F.when((unit == "%") & (F.pmod(seed, F.lit(5)) == 0), say("What is the ", col, " percentage of ", row, "?")).when((unit == "USD") & (F.pmod(seed, F.lit(5)) == 0), say("What is ", row, "'s ", col, " in dollars?"))
+    return F.when(alone, F.coalesce(unit_said, pick(named + short))).otherwise(pick(named))

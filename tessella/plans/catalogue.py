@@ -553,7 +553,7 @@ def q48_needle_rows(spark, sf_dir):
 def q49_parse_raw(spark, sf_dir):
     k, v = F.col("o_orderkey"), F.floor("o_totalprice").cast("bigint")
     raw = F.when(k % 4 == 0, X.format_raw(v, thousands=True, footnote="a")).when(k % 4 == 1, X.format_raw(-v, parens=True)).when(k % 4 == 2, v.cast("string")).otherwise("n/a")
-    return t(spark, sf_dir, "orders").select("o_orderkey", X.parse_raw(raw).alias("value"))
+    return t(spark, sf_dir, "orders").select("o_orderkey", X.parse_raw(raw)["number"].alias("value"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) || ' (a)' ELSE '(' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) || ') (a)' END AS raw FROM orders")

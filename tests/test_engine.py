@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessella.functions import a1
 from tessella.functions import text as X
 from tessella.functions.cells import number_text, text_number
-from tessella.functions.formula import compile_expression, expression_json, translate
+from tessella.functions.formula import bind_operands, compile_expression, expression_json, plain_function, translate
 from tessella.operators import grid as S
 from tessella.plans.catalogue import ORACLES, QUERIES
 from tessella.plans.extract import extract
@@ -60,15 +60,41 @@ def test_formulas(spark):
     assert translate("=SUM(A5:C5)^2", 5, cols)[0] == "(Units+Price+Tax)**2"
     assert translate("=Other!A2", 2, cols)[2] == "cross-sheet reference" and translate("=VLOOKUP(A2,B2)", 2, cols)[2].startswith("unsupported function: VLOOKUP")
     assert translate("=A1+1", 2, cols)[0] is None and translate("=1+1", 2, cols)[0] is None and translate("=Z2", 2, cols)[0] is None
+    assert translate("= $A$2 * (1 - C2) ", 2, cols) == ("Units * (1 - Tax)", ["Units", "Tax"], "") and translate("=sum( A2 : B2 )/B2", 2, cols)[0] == "(Units+Price)/Price"
+    for bad, reason in (('=A2&"x"', "unparseable expression"), ("=A2:B2", "unparseable expression"), ("=SUM(A2,B2)", "unsupported function: SUM (Phase 1)"), ("=SUM(A1:A9)", "reference to another row"), ("=rate*A2", "unknown name rate"), ("=A2>1", "unparseable expression")):
+        assert translate(bad, 2, cols) == (None, [], reason), bad
+    assert translate("=A2+B2", 2, {1: "Net value", 2: "Tax"})[2] == "unparseable expression"
+    env = {"a": 7.0, "b": 2.0, "r": [1.0, 2.5]}
+    for text, want in (("a + b * 3", 13), ("-a // b", -4), ("ROUND(b + 0.5)", 2), ("IF(a > b, a, 1 / 0)", 7), ("SUM(r) + COUNT(r)", 5.5), ("MAX(a, b) ** 2", 49), ("AVG(r)", 1.75)):
+        assert plain_function(text)(env) == want
+    with pytest.raises(ValueError):
+        plain_function("a if b else 1")
+    bound = bind_operands([("x", "column", "a"), ("y", "cell", "B2"), ("z", "range", "A1:A2"), ("rate", "param", "")], lambda ref: 5.0, lambda ref: [1.0, 2.0], {"rate": 0.5})
+    assert one.select(compile_expression("x + y + SUM(z) * rate", bound).alias("v")).first().v == 13.5
+    with pytest.raises(ValueError):
+        bind_operands([("rate", "param", "")])
 
 
 def test_names_and_raw_text(spark):
     row = spark.range(1)
     get = lambda c: row.select(c.alias("v")).first().v
     assert get(X.tokens(F.lit("netValue of SKU-100"))) == ["net", "value", "of", "sku", "100"]
-    for text, want in (("124,500 (a)", 124500), ("(3000)", -3000), ("12.5", 12.5), ("n/a", None), ("", None)):
-        assert get(X.parse_raw(F.lit(text))) == want
-    assert get(X.extract_json(F.lit('so ```json\n{"a": {"b": 1}}\n``` ok'))) == '{"a": {"b": 1}}' and get(X.extract_json(F.lit("{broken"))) is None
+    assert [get(X.tokens(F.lit(t))) for t in ("GDPGrowth", "totalGDP", "HTTPServer2Go", "ABC")] == [["gdp", "growth"], ["total", "gdp"], ["http", "server2", "go"], ["abc"]]
+    for text, want in (("124,500 (a)", 124500), ("(3000)", -3000), ("12.5", 12.5), (" 1e3 ", 1000), ("(1,200.5) (b)", -1200.5)):
+        assert tuple(get(X.parse_raw(F.lit(text)))) == (want, None)
+    for text in ("n/a", "", "(a)", "12 apples"):
+        assert tuple(get(X.parse_raw(F.lit(text)))) == (None, text)
+    for v in (0.0, 1.0, -2.5, 1234.0, 0.5, 123456.0, 1234567.0, 1e-5, 0.0001, 1e20, 3.14159265, 100.0, 99999.96, 0.1 + 0.2):
+        assert get(X.general(F.lit(v))) == f"{v:g}", v
+    assert [get(X.format_raw(F.lit(v), thousands=True, parens=True, footnote="a")) for v in (1234.5, -1234567.0)] == ["1,234.5 (a)", "(1,234,567)"]
+    said = {
+        'so ```json\n{"a": {"b": 1}}\n``` ok': '{"a": {"b": 1}}', '```\n{"x": 1}\n```': '{"x": 1}', ' {"ok": true} ': '{"ok": true}', "{broken": None, "no json": None, "": None,
+        'Sure! {"a": {"b": [1, "}"]}} and {"c": 2} follow.': '{"a": {"b": [1, "}"]}}', 'use {b} or {"a": 1}': '{"a": 1}', '{"a":1} and {b}': '{"a":1}', '{"q": "say \\"{\\" now"} x': '{"q": "say \\"{\\" now"}',
+    }
+    rows = spark.createDataFrame(list(said.items()), "t string, want string").select("t", "want", X.extract_json(F.col("t")).alias("got")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
+    prefixes = ["coverage gap: x", "column-name: x", "column-integrity: x", "column-coverage: x", "row-integrity: x", "row-key collision: x", "blank row key: x", "empty index: x", "round-trip: x", "dtype-mismatch: x", "computed mismatch x", "dtype mismatch", ""]
+    assert [get(X.category(F.lit(m))) for m in prefixes] == ["coverage-gap", "column-name", "column-integrity", "column-coverage", "row-integrity", "row-key-collision", "blank-row-key", "empty-index", "round-trip", "dtype-mismatch", "computed", "other", "other"]
 
 
 SHEETS = {
