@@ -1,8 +1,8 @@
 """Names and texts: tokens, squashed names, match tiers, raw literals, JSON in prose, categories of findings."""
 
 import json
+import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,29 +101,32 @@ def format_raw(value: Column, thousands: bool = False, parens: bool = False, foo
     return F.when(value < 0, F.concat(F.lit("("), digits, F.lit(")"))).otherwise(noted) if parens else noted
 
 
-def _first_object(texts: pd.Series) -> pd.Series:
-    """The first place at which a JSON object begins that can be parsed, up to its closing brace."""
-    decode = json.JSONDecoder().raw_decode
+#: Blocks that are tried before an object is looked for in prose.
+FENCES = (re.compile(r"```json\s*\n(.*?)\n```", re.DOTALL), re.compile(r"```\s*\n(.*?)\n```", re.DOTALL))
 
-    def find(text: str | None) -> str | None:
-        at = -1 if text is None else text.find("{")
-        while at >= 0:
-            try:
-                return text[at : decode(text, at)[1]]
-            except ValueError:
-                at = text.find("{", at + 1)
-        return None
 
-    return texts.map(find, na_action="ignore")
+def find_json(text: str) -> str | None:
+    """JSON in a text, as it stands there: the whole text, else a block fenced as json, else any fenced block, else the first object that parses."""
+    for part in (text.strip(), *(m[1] for f in FENCES if (m := f.search(text)))):
+        try:
+            json.loads(part)
+            return part
+        except ValueError:
+            pass
+    at = text.find("{")
+    while at >= 0:
+        try:
+            # A decoder stops behind the object's closing brace, whatever follows.
+            return text[at : json.JSONDecoder().raw_decode(text, at)[1]]
+        except ValueError:
+            at = text.find("{", at + 1)
+    return None
 
 
 def extract_json(text: Column) -> Column:
-    """JSON in a text, as it stands there: the whole text, else a block fenced as json, else any fenced block, else the first object that parses; null if there is none."""
-    whole = F.regexp_replace(text, r"^\s+|\s+$", "")
-    fenced = [F.regexp_extract(text, rf"(?s)```{kind}\s*\n(.*?)\n```", 1) for kind in ("json", "")]
-    plain = F.coalesce(*(F.when(F.try_parse_json(c).isNotNull() & (c != ""), c) for c in (whole, *fenced)))
-    # Python sees only the texts that need it.
-    return F.coalesce(plain, F.pandas_udf(_first_object, "string")(F.when(plain.isNull() & text.contains("{"), text)))
+    """find_json as a Column; null if there is none. Python sees, in Arrow batches, only texts that have a brace."""
+    found = F.pandas_udf(lambda texts: texts.map(find_json, na_action="ignore"), "string")
+    return found(F.when(text.contains("{"), text))
 
 
 #: Prefix of a gate message, and the category of the finding; the first that fits counts. Fixed values.
