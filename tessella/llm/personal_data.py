@@ -243,10 +243,12 @@ def redact(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            i, marks = batch.schema.get_field_index(text), batch.column(marked).to_pylist()
-            if any(marks):
-                values = [cover(t, s) if s and t is not None else t for t, s in zip(batch.column(i).to_pylist(), marks, strict=True)]
-                batch = batch.set_column(i, batch.schema.field(i).with_type(pa.string()), pa.array(values, pa.string()))
-            yield batch.drop_columns([marked])
+            i = batch.schema.get_field_index(text)
+            for part in slices(batch, text):
+                marks = part.column(marked).to_pylist()
+                if any(marks):
+                    values = [cover(t, s) if s and t is not None else t for t, s in zip(part.column(i).to_pylist(), marks, strict=True)]
+                    part = part.set_column(i, part.schema.field(i).with_type(pa.string()), pa.array(values, pa.string()))
+                yield part.drop_columns([marked])
 
     return both.mapInArrow(run, documents.schema)

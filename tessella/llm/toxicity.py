@@ -194,8 +194,9 @@ def score(documents: DataFrame, model: Model, text: str = "text", name: str = "s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.score(t) for part in slices(batch, text) for t in texts_of(part, text)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, name])
+            for part in slices(batch, text):
+                found = [model.score(t) for t in texts_of(part, text)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], [*part.schema.names, name])
 
     return kept.mapInArrow(run, schema)
 
