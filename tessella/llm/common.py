@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -63,6 +64,13 @@ def discard(*frames: DataFrame) -> None:
         frames[0].sparkSession._jvm.System.gc()
 
 
+def release() -> None:
+    """Give back to the system what a worker process no longer uses; called at the end of a task, as the process lives on for others."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
 def sized_broadcast(frame: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a side whose counted rows are few; else Spark picks a shuffled join and splits skew."""
     return F.broadcast(frame) if rows <= limit else frame

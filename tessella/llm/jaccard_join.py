@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import discard, sized_broadcast, slices, stash
+from tessella.llm.common import discard, release, sized_broadcast, slices, stash
 from tessella.llm.components import connected_components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -258,8 +258,7 @@ def scan(documents: DataFrame, words: int, percent: int, doc_id: str, text: str)
                 none = [pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
                 yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([d for d, _ in marks], pa.int64()), pa.array([d for _, d in marks], pa.int64()), *none], schema=kind)
             yield packed(keys, classes)
-        # The worker process lives on for other tasks: give back what it holds.
-        pa.default_memory_pool().release_unused()
+        release()
 
     return stash(documents.select(doc_id, text).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bucket int, cells binary"), "shingles"), buckets
 
@@ -368,7 +367,7 @@ def packed_groups(documents: DataFrame, members: DataFrame, words: int, doc_id:
                 own = [digests(s) == d for s, d in zip(sets, zip(part.column("d1").to_pylist(), part.column("d2").to_pylist(), strict=True), strict=True)]
                 kept = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("gid", *MEMBER)), pa.array([s.tobytes() for s in sets], pa.binary())], ["gid", *MEMBER, "tokens"])
                 yield kept.filter(pa.array(own, pa.bool_()))
-        pa.default_memory_pool().release_unused()
+        release()
 
     kind = pa.schema([("gid", pa.int64()), *((c, pa.list_(pa.int64())) for c in MEMBER), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary())])
 
@@ -396,6 +395,7 @@ def opened_links(packed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame
             some = np.flatnonzero(linked).tolist()
             found = [(members[x][1], members[y][1], None, None) for x, y in links] + [(None, None, members[i][0], int(linked[i])) for i in some]
             yield pa.RecordBatch.from_pydict({c: [r[i] for r in found] for i, c in enumerate(("u", "v", "node", "linked"))}, schema=pa.schema([(c, pa.int64()) for c in ("u", "v", "node", "linked")]))
+        release()
 
     sides = pairs.select("ga", "gb", F.explode(F.array_distinct(F.array("ga", "gb"))).alias("gid"))
     # The smaller side is the pairs; groups are bounded in size, so a row of either is too.

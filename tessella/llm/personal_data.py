@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessella.llm.common import discard, sized_broadcast, slices, stash, texts_of, unused
+from tessella.llm.common import discard, release, sized_broadcast, slices, stash, texts_of, unused
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SCORE = 0.8
@@ -150,6 +150,7 @@ def scan(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", whole
                     [part.column(doc_id), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(places, pa.list_(OCCURRENCE)), *part.columns[2:]],
                     ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "places", *part.schema.names[2:]],
                 )
+        release()
 
     kind = documents.schema[doc_id].dataType.simpleString()
     schema = StructType.fromDDL(FOUND_DDL.format(kind))
@@ -250,5 +251,6 @@ def redact(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                     values = [cover(t, s) if s and t is not None else t for t, s in zip(part.column(i).to_pylist(), marks, strict=True)]
                     part = part.set_column(i, part.schema.field(i).with_type(pa.string()), pa.array(values, pa.string()))
                 yield part.drop_columns([marked])
+        release()
 
     return both.mapInArrow(run, documents.schema)

@@ -19,11 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessella.llm.common import slices, texts_of
+from tessella.llm.common import release, slices, texts_of
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
-UNITS_KEPT = 150_000
+#: Units that a worker remembers at a time.
+UNITS_KEPT = 100_000
 BATCH_BYTES = 2 << 20
 
 
@@ -74,7 +75,6 @@ class PieceModel:
         self.surface_at = np.concatenate([[0], np.cumsum(self.surface_len)])[:-1]
         self.decimal = [b" %d" % i for i in range(size)]
         self._ids: dict[str, bytes] = {}
-        self._decimal: dict[str, bytes] = {}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged piece of neighbouring symbols; rank NONE where they do not merge."""
@@ -164,11 +164,10 @@ class PieceModel:
         return self._length_of
 
     def learn(self, units: Sequence[str]) -> None:
-        """Encode units that are not known yet and keep them, as ids (uint32 bytes) and as decimal text."""
+        """Encode units that are not known yet and keep their ids, as uint32 bytes."""
         for unit, symbols in zip(units, self.merge(units), strict=True):
             ids = self.unit_ids(unit, symbols) if len(symbols) and symbols.max() >= self.size else symbols.tolist()
             self._ids[unit] = np.array(ids, dtype="<u4").tobytes()
-            self._decimal[unit] = b"".join([self.decimal[i] for i in ids])
 
     def units(self, text: str) -> list[str]:
         """Cut at spaces and line breaks; the first unit has the dummy prefix."""
@@ -177,17 +176,20 @@ class PieceModel:
         # The same cut without a regular expression; empty strings between line breaks encode to nothing.
         return (SPACE + text.replace(" ", " " + SPACE).replace("\n", " \n ")).split(" ") if text else []
 
-    def encode(self, texts: Sequence[str]) -> list[tuple[bytes, bytes]]:
-        """For each text its ids without an end id, as little-endian uint32 bytes, and their decimal text, each id behind a space."""
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """For each text its ids, as little-endian uint32, without an end id."""
         cut = [self.units(t) for t in texts]
         if len(self._ids) > UNITS_KEPT:
             self._ids.clear()
-            self._decimal.clear()
         new = [u for u in set().union(*cut) if u not in self._ids]
         if new:
             self.learn(new)
-        ids, decimal = self._ids.__getitem__, self._decimal.__getitem__
-        return [(b"".join(map(ids, units)), b"".join(map(decimal, units))) for units in cut]
+        ids = self._ids.__getitem__
+        return [np.frombuffer(b"".join(map(ids, units)), dtype="<u4") for units in cut]
+
+    def as_decimal(self, ids: np.ndarray) -> bytes:
+        """The ids as decimal numbers, a space between them."""
+        return b"".join(map(self.decimal.__getitem__, ids.tolist()))[1:]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: surfaces side by side, control pieces empty, one dummy space dropped at the front."""
@@ -222,7 +224,7 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha2
 
 def encode_batch(model: PieceModel, texts: list[str], end: bool = True) -> list[np.ndarray]:
     tail = np.array([model.end_id] if end else [], dtype="<u4")
-    return [np.concatenate([np.frombuffer(ids, dtype="<u4"), tail]) for ids, _ in model.encode(texts)]
+    return [np.concatenate([ids, tail]) for ids in model.encode(texts)]
 
 
 def token_digests(documents: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -230,16 +232,14 @@ def token_digests(documents: DataFrame, model_file: str, doc_id: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_file)
-        end = b" %d" % model.end_id
         for batch in batches:
             for part in slices(batch, text, BATCH_BYTES):
-                n, ids_sha, text_sha = [], [], []
-                for ids, decimal in model.encode(texts_of(part, text)):
-                    every = np.append(np.frombuffer(ids, dtype="<u4"), np.uint32(model.end_id))
-                    n.append(len(every))
-                    ids_sha.append(hashlib.sha256((decimal + end)[1:]).hexdigest())
-                    text_sha.append(hashlib.sha256(model.decode(every).encode("utf-8", "surrogatepass")).hexdigest())
+                every = encode_batch(model, texts_of(part, text))
+                n = [len(ids) for ids in every]
+                ids_sha = [hashlib.sha256(model.as_decimal(ids)).hexdigest() for ids in every]
+                text_sha = [hashlib.sha256(model.decode(ids).encode("utf-8", "surrogatepass")).hexdigest() for ids in every]
                 yield pa.RecordBatch.from_arrays([part.column(doc_id).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], schema=RESULT)
+        release()
 
     return documents.select(doc_id, text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -258,6 +258,7 @@ def token_ids(documents: DataFrame, model_file: str, doc_id: str = "doc_id", tex
                 ids = encode_batch(model, texts)
                 same = [model.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(doc_id), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "token_ids", "n_tokens", "round_trip"])
+        release()
 
     kind = documents.schema[doc_id].dataType.simpleString()
     return documents.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, token_ids array<int>, n_tokens long, round_trip boolean")

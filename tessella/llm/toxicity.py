@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import discard, slices, stash, texts_of
+from tessella.llm.common import discard, release, slices, stash, texts_of
 
 MAX_POSITIVE = 2000
 MAX_UNLABELLED = 6000
@@ -35,6 +35,8 @@ SCALE = 100.0
 MOST_SHARE = 5.0
 LIFT = 0.4
 EVIDENCE = 10.0
+#: Tokens that a worker remembers at a time.
+TOKENS_KEPT = 100_000
 
 
 def fold(doc_id: Column, n: int) -> Column:
@@ -61,7 +63,7 @@ class Model:
     def score(self, text: str | None) -> float:
         """Of one whole text; null and empty texts, and texts without known words, get the bias alone."""
         tokens, known = (text or "").lower().split(), self._known
-        if len(known) > 200_000:
+        if len(known) > TOKENS_KEPT:
             known.clear()
         fresh = [t for t in set(tokens) if t not in known]
         for token in fresh:
@@ -146,7 +148,7 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         known: dict[str, list[int]] = {}
         for batch in batches:
             for part in slices(batch, "text"):
-                if len(known) > 200_000:
+                if len(known) > TOKENS_KEPT:
                     known.clear()
                 found, shares = [], []
                 for t in texts_of(part):
@@ -157,6 +159,8 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
                     found.append(f)
                     shares.append((n * SCALE / len(tokens)).astype(np.float32) if tokens else n.astype(np.float32))
                 yield pa.RecordBatch.from_arrays([part.column("positive"), part.column("unlabelled"), pa.array(found, pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.float32()))], ["positive", "unlabelled", "features", "shares"])
+        known.clear()
+        release()
 
     sample = stash(picked.mapInArrow(run, "positive boolean, unlabelled boolean, features array<long>, shares array<float>"), "sample")
     n_p, n_u = sample.agg(F.count_if("positive"), F.count_if("unlabelled")).first()
@@ -197,6 +201,8 @@ def score(documents: DataFrame, model: Model, text: str = "text", name: str = "s
             for part in slices(batch, text):
                 found = [model.score(t) for t in texts_of(part, text)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], [*part.schema.names, name])
+        model._known.clear()
+        release()
 
     return kept.mapInArrow(run, schema)
 

@@ -338,6 +338,10 @@ def test_sentencepiece_matches_library(spark, docs, odd, empty):
     rng = random.Random(5)
     bits = [" ", "  ", " " * 17, "\n", "\t", "a", "e", "the", "▁", "é", "漢", "🙂", "\x00", "aaaa", "ing", "1", "<0x0A>", "</s>", "한국"]
     texts = [*docs.text.dropna().tolist()[:60], *("".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(500)), *(t for t in ODD if t)]
+    rng = random.Random(11)
+    runs = ["the" * 300_000, "ing" * 50_000, "=" * 200_000, "".join(rng.choice("etaoin") for _ in range(20_000))]
+    runs += ["".join(rng.choice(rng.choice(["the", "abc", "etaoin", "ation", "1230"])) for _ in range(rng.randint(1, 60))) * rng.choice([1, 2, 7]) for _ in range(500)]
+    texts = [*texts, *runs]
     ids = piece_bpe.encode_batch(model, texts, end=False)
     assert [i.tolist() for i in ids] == sp.encode(texts)
     assert [model.decode(i) for i in ids] == [sp.decode(i.tolist()) for i in ids]
