@@ -24,18 +24,19 @@ def row_profile(grid: DataFrame) -> DataFrame:
     full = F.filter("cells", lambda c: ~empty(c))
     counted = grid.select("sheet", "row", F.size(full).alias("n"), F.size(F.filter(full, lambda c: c["kind"] == "str")).alias("s"), F.size(F.filter(full, numeric)).alias("num"))
     dense = every.join(counted, ["sheet", "row"], "left").fillna(0, ["n", "s", "num"])
-    w = Window.partitionBy("sheet").orderBy("row")
-    looked = dense.select(
-        "*", F.lead("n").over(w).alias("next_n"), F.lead("num").over(w).alias("next_num"), F.max(F.when(F.col("n") > 0, F.col("row"))).over(Window.partitionBy("sheet")).alias("_filled")
-    )
+    # Neighbours meet by a join on the row number, so that no task holds a whole sheet.
+    dense = durable(dense, "rows")
+    after = dense.select("sheet", (F.col("row") - 1).alias("row"), F.col("n").alias("next_n"), F.col("num").alias("next_num"))
+    filled = dense.where("n > 0").groupBy("sheet").agg(F.max("row").alias("_filled"))
+    looked = dense.join(after, ["sheet", "row"], "left").join(filled, "sheet", "left")
     banner = (F.col("n") == 1) & F.col("next_n").isNotNull() & ((F.col("next_n") == 0) | (F.col("next_n") > 1))
-    candidate = ~banner & (F.col("n") > 0) & (F.col("s") >= F.greatest(F.lit(1), F.floor(F.col("n") / 2))) & (F.col("_filled") > F.col("row"))
+    candidate = ~banner & (F.col("n") > 0) & (F.col("s") >= F.greatest(F.lit(1), F.floor(F.col("n") / 2))) & F.coalesce(F.col("_filled") > F.col("row"), F.lit(False))
     leaf = (F.col("n") >= 2) & (F.col("s") == F.col("n")) & (F.coalesce("next_num", F.lit(0)) > 0)
     return looked.select("sheet", "row", "n", "s", "num", banner.alias("banner"), F.coalesce(candidate, F.lit(False)).alias("candidate"), leaf.alias("leaf"))
 
 
 def detect_tables(grid: DataFrame) -> DataFrame:
-    """One handle per sheet: header_row, span, min_row, min_col, max_row, max_col, ambiguous. A sheet without a header is A1:A1 and ambiguous."""
+    """One handle per sheet: header_row, span, min_row, min_col, max_row, max_col, ambiguous, reason. A sheet without a header is A1:A1 and ambiguous."""
     rows = durable(row_profile(grid), "rows")
     head = rows.groupBy("sheet").agg(F.min(F.when(F.col("candidate"), F.col("row"))).alias("header_row"), F.max("row").alias("_last"))
     second = rows.where("leaf").select(F.col("sheet").alias("_sheet"), F.col("row").alias("_leaf"))
@@ -70,6 +71,7 @@ def detect_tables(grid: DataFrame) -> DataFrame:
         "sheet", F.coalesce("header_row", F.lit(1)).alias("header_row"), F.when(none, 1).otherwise(F.col("span")).alias("span"), F.when(none, 1).otherwise(F.coalesce("_top", "header_row")).alias("min_row"),
         F.when(none, 1).otherwise(F.col("min_col")).alias("min_col"), F.when(none, 1).otherwise(F.greatest("_end", F.col("header_row") + F.col("span") - 1)).alias("max_row"),
         F.when(none, 1).otherwise(F.col("max_col")).alias("max_col"), F.coalesce("_other", none).alias("ambiguous"),
+        F.when(none, "no row can be a header").when(F.col("_other"), "content above the header is no title").alias("reason"),
     )
 
 

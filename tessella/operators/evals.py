@@ -31,4 +31,15 @@ def precision_recall(counts: DataFrame) -> DataFrame:
 
 def score_card(scored: DataFrame, *sets: str) -> DataFrame:
     """Pass rate by each of the named columns and overall, in one pass by grouping sets."""
-    return scored.groupingSets([[F.col(s)] for s in sets] + [[]], *(F.col(s) for s in sets)).agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"), F.avg(F.col("passed").cast("double")).alias("rate"))
+    rate = F.coalesce(F.avg(F.col("passed").cast("double")), F.lit(1.0))  # a group without samples passes
+    return scored.groupingSets([[F.col(s)] for s in sets] + [[]], *(F.col(s) for s in sets)).agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"), rate.alias("rate"))
+
+
+def pass_rates(scored: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """grp (column:value, or all:), n, n_passed, rate. The listed values of a column are there even without samples, with a rate of 1."""
+    spark = scored.sparkSession
+    kinds = F.array(*(F.concat(F.lit(f"{c}:"), F.col(c)) for c in groups), F.lit("all:"))
+    found = scored.select("passed", F.explode(kinds).alias("grp")).groupBy("grp").agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"))
+    named = spark.createDataFrame([(f"{c}:{v}",) for c, values in groups.items() for v in values] + [("all:",)], "grp string")
+    every = named.join(found, "grp", "full_outer").fillna(0, ["n", "n_passed"])
+    return every.where("grp is not null").select("grp", "n", "n_passed", F.coalesce(F.try_divide(F.col("n_passed").cast("double"), F.col("n").cast("double")), F.lit(1.0)).alias("rate"))

@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import a1
 from tessella.functions.cells import cell, empty, kind_of
+from tessella.operators.durable import durable
 
 
 def with_row_number(frame: DataFrame, order_by: Sequence[str | Column], name: str = "row", first: int = 1) -> DataFrame:
     """Number rows in a total order, first, first + 1, ...
 
     Rows are dealt to ranges of the order and sorted inside each; a row's number is its place there plus the rows of the ranges
-    before, so no task sees the whole table. The ranges are kept for the second pass, because ranges are found by sampling.
+    before, so no task sees the whole table. The ranges, which are found by sampling, are written to the shared folder for the second pass, so that
+    a lost executor changes no number. Rows that tie in the order keep the numbers that the first pass gave them.
     """
-    ranged = frame.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = durable(frame.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("_at", F.monotonically_increasing_id()), "ranges")
     part = F.shiftright(F.col("_at"), 33)
     counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect()
     starts, total = [], first
@@ -107,19 +108,70 @@ def plan_bands(tables: DataFrame, rows_per_band: int = 5000, cols_per_band: int
     )
 
 
-def stride_sample(frame: DataFrame, size: int, place: str = "i", total: int | None = None) -> DataFrame:
-    """Rows at evenly spaced places, the first and last among them; place counts from 0. Half places round to even."""
-    n = frame.count() if total is None else total
-    if n <= size:
-        return frame
+def stride_hit(place: Column, n: Column, size: int, full: int | None = None) -> Column:
+    """Whether a place (from 0) among n belongs to a sample of about size at even strides, first and last included; all do if n is full or less.
+
+    Half places round to even. A sample of one is the first and the last.
+    """
+    every = n <= F.lit(max(size, full or 0))
     if size <= 1:
-        return frame.where(F.col(place).isin(0, n - 1))
-    step = (n - 1) / (size - 1)
+        return every | place.isin(0) | (place == n - 1)
+    step = (n - 1) / F.lit(float(size - 1))
     # A place is taken if it is the rounding of one of its neighbouring strides.
-    near = F.floor(F.col(place) / F.lit(step))
-    hits = [F.bround((near + d) * F.lit(float(n - 1)) / F.lit(float(size - 1)), 0) == F.col(place) for d in (0, 1)]
-    inside = [(near + d <= size - 1) for d in (0, 1)]
-    return frame.where((hits[0] & inside[0]) | (hits[1] & inside[1]))
+    near = F.floor(F.try_divide(place, step))
+    hits = [(F.bround((near + d) * (n - 1).cast("double") / F.lit(float(size - 1)), 0) == place) & (near + d <= size - 1) for d in (0, 1)]
+    return every | F.coalesce(hits[0] | hits[1], F.lit(False))
+
+
+def stride_sample(frame: DataFrame, size: int, place: str = "i", total: int | None = None) -> DataFrame:
+    """Rows at evenly spaced places, the first and last among them; place counts from 0."""
+    n = frame.count() if total is None else total
+    return frame.where(stride_hit(F.col(place), F.lit(n), size))
+
+
+def sheets(grid: DataFrame) -> DataFrame:
+    """sheet and sheet_idx (from 0) in the order of the workbook; grids that do not know it are ordered by name."""
+    if "sheet_idx" in grid.columns:
+        return grid.where("sheet is not null").groupBy("sheet").agg(F.min("sheet_idx").cast("int").alias("sheet_idx"))
+    names = grid.where("sheet is not null").select("sheet").distinct()
+    return with_row_number(names, ["sheet"], "sheet_idx", 0).select("sheet", F.col("sheet_idx").cast("int").alias("sheet_idx"))
+
+
+def point(grid: DataFrame, sheet: str, row: int, col: int) -> DataFrame:
+    """One cell; no row where the sheet has none. Cells beyond a ragged row's end are empty."""
+    return grid.where((F.col("sheet") == sheet) & (F.col("row") == row)).select("sheet", "row", F.lit(col).alias("col"), F.try_element_at("cells", F.lit(col)).alias("cell"))
+
+
+def formulas(grid: DataFrame, sheet: str | None = None, ref: str | None = None) -> DataFrame:
+    """sheet, row, col and formula of the cells that hold one, within a sheet and an A1 range if given."""
+    rows = grid if sheet is None else grid.where(F.col("sheet") == sheet)
+    out = rows.select("sheet", "row", F.posexplode("cells").alias("col", "cell")).select("sheet", "row", (F.col("col") + 1).alias("col"), F.col("cell.formula").alias("formula")).where("formula is not null")
+    if ref:
+        r0, c0, r1, c1 = a1.parse_range(ref)
+        out = out.where(F.col("row").between(r0, r1) & F.col("col").between(c0, c1))
+    return out
+
+
+def snapshot(grid: DataFrame) -> DataFrame:
+    """The grid as it is now, in the shared folder: what is read from it does not change while it is checked."""
+    return durable(grid, "snapshot")
+
+
+def as_grid(spark: SparkSession, source: object, order_by: str | None = None, sheet: str = "sheet") -> DataFrame:
+    """A grid from a grid, from a table (with the column that orders its rows), from a path of workbooks, or from {"main": path}; else TypeError."""
+    from tessella.sources.workbook import read_workbooks
+
+    if isinstance(source, DataFrame):
+        if {"sheet", "row", "cells"} <= set(source.columns):
+            return source
+        if order_by is None:
+            raise TypeError("a table needs order_by, the column that orders its rows")
+        return grid_of(source, order_by, sheet)
+    if isinstance(source, dict) and set(source) == {"main"}:
+        source = source["main"]
+    if isinstance(source, str):
+        return read_workbooks(spark, source)
+    raise TypeError(f"neither a grid nor a path: {type(source).__name__}")
 
 
 def islands(frame: DataFrame, partition: Sequence[str], order: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.a1 import cell_text
+from tessella.operators.grid import with_row_number
 
 
 def key_map(rows: DataFrame, key: str | Column, row: str = "row") -> DataFrame:
@@ -16,10 +18,21 @@ def key_map(rows: DataFrame, key: str | Column, row: str = "row") -> DataFrame:
     return rows.groupBy(k.alias("key")).agg(F.max(row).alias("last"), F.min(row).alias("first"))
 
 
-def collisions(rows: DataFrame, key: str, row: str = "row") -> DataFrame:
-    """key, shadowed_row, winning_row of each neighbouring pair of rows with one key."""
-    before = F.lag(row).over(Window.partitionBy(key).orderBy(row))
-    return rows.select(F.col(key).alias("key"), before.alias("shadowed_row"), F.col(row).alias("winning_row")).where("shadowed_row is not null")
+def collisions(rows: DataFrame, key: str | Sequence[str], row: str = "row") -> DataFrame:
+    """key, shadowed_row, winning_row of each neighbouring pair of rows with one key (several columns are one key).
+
+    Only rows of keys that occur more than once are ordered; neighbours meet by a join on their number in that order, so that no task holds all rows of a key.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    named = rows.select(*(F.col(k).alias("key") if isinstance(key, str) else F.col(k) for k in keys), F.col(row).alias("_row"))
+    names = ["key"] if isinstance(key, str) else keys
+    several = named.groupBy(*names).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    same = lambda a, b: functools.reduce(lambda x, y: x & y, (a[n].eqNullSafe(b[n]) for n in names))
+    repeated = named.join(several, same(named, several), "left_semi")
+    ordered = with_row_number(repeated, [*names, "_row"], "_i")
+    before = ordered.select((F.col("_i") + 1).alias("_i"), *(F.col(n).alias(f"_{n}") for n in names), F.col("_row").alias("shadowed_row"))
+    both = ordered.join(before, "_i").where(functools.reduce(lambda x, y: x & y, (F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names)))
+    return both.select(*names, "shadowed_row", F.col("_row").alias("winning_row"))
 
 
 def blank_keys(rows: DataFrame, keys: Sequence[str], row: str = "row") -> DataFrame:

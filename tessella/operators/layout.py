@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.cells import text_number
+
 DTYPES = ("number", "string", "boolean", "date")
 ROLES = ("key", "value", "computed")
 
@@ -17,12 +19,11 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
 
 
 def dominated(ranked: DataFrame) -> DataFrame:
-    """Per sheet, whether the first candidate is no worse than the second in coverage, errors and gaps, and better in one; alone counts as dominant."""
-    w = Window.partitionBy("sheet").orderBy("rank")
-    s = ranked.select("sheet", "rank", "pos", "coverage", "errors", "gaps", *(F.lead(c).over(w).alias(f"_{c}") for c in ("coverage", "errors", "gaps"))).where("rank = 1")
+    """Per sheet, whether the first candidate is no worse than the second in coverage, errors and gaps; alone counts as dominant."""
+    second = ranked.where("rank = 2").select("sheet", *(F.col(c).alias(f"_{c}") for c in ("coverage", "errors", "gaps")))
+    s = ranked.where("rank = 1").join(second, "sheet", "left")
     no_worse = (F.col("coverage") >= F.col("_coverage")) & (F.col("errors") <= F.col("_errors")) & (F.col("gaps") <= F.col("_gaps"))
-    better = (F.col("coverage") > F.col("_coverage")) | (F.col("errors") < F.col("_errors")) | (F.col("gaps") < F.col("_gaps"))
-    return s.select("sheet", "pos", F.coalesce(no_worse & better, F.lit(True)).alias("dominant"))
+    return s.select("sheet", "pos", F.coalesce(no_worse, F.lit(True)).alias("dominant"))
 
 
 def accept_recut(new: str = "new_", old: str = "old_") -> Column:
@@ -42,11 +43,16 @@ def best_repair(candidates: DataFrame) -> DataFrame:
 
 
 def label_like(text: Column) -> Column:
-    """A heading rather than a value: not a number, or a whole number that reads as a year."""
-    number = text.try_cast("double")
+    """A heading rather than a value: not a number, commas aside, or a whole number that reads as a year."""
+    number = text_number(F.regexp_replace(text, ",", ""))
     return number.isNull() | ((number == F.floor(number)) & number.between(1900, 2100))
 
 
+def label_scores(columns: DataFrame) -> DataFrame:
+    """table_id and labels: how many of a table's headings read as such."""
+    return columns.groupBy("table_id").agg(F.count_if(label_like(F.col("name"))).alias("labels"))
+
+
 def apply_patches(columns: DataFrame, patches: DataFrame) -> DataFrame:
     """Columns (name, dtype, role) with patched dtype and role; unknown names, and values outside the lists, change nothing."""
     p = patches.select("name", F.when(F.col("dtype").isin(*DTYPES), F.col("dtype")).alias("_dtype"), F.when(F.col("role").isin(*ROLES), F.col("role")).alias("_role"))

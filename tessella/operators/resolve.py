@@ -1,49 +1,122 @@
-"""Names in phrases: a batch of phrases against a catalog of tables, by exact matching tiers. Structure is read, never values."""
+"""Names in phrases: a batch of phrases against a catalog of tables, by exact matching tiers. Structure is read, never values.
+
+Names meet phrases by joins on keys that any match must share (a token, a squashed name, a word, three letters of a beginning), so that no phrase is held against every name.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
+from tessella.operators.durable import durable
 
+#: Distinct forms of row keys up to which a table's keys are also found by a prefix; in larger tables a prefix alone finds nothing, as a rule of the engine.
 PREFIX_FORMS = 2000
+NO_WORD = "\x00"  # stands for a name without letters or digits
+
+
+def _words(low: Column) -> Column:
+    """Runs of letters and digits of a lower-case text."""
+    return F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w != "")
+
+
+def _tag(kind: str, items: Column) -> Column:
+    return F.transform(items, lambda t: F.concat(F.lit(kind), t))
+
+
+def _beginnings(items: Column) -> Column:
+    return F.transform(F.filter(items, lambda t: F.length(t) >= X.MIN_PREFIX), lambda t: F.substring(t, F.lit(1), F.lit(X.MIN_PREFIX)))
+
+
+def _first_word(low: Column) -> Column:
+    return F.coalesce(F.try_element_at(_words(low), F.lit(1)), F.lit(NO_WORD))
+
+
+def _name_keys(name: Column) -> Column:
+    """Keys of a name, one of which is among the keys of every phrase that the name has a tier with."""
+    low, short = F.lower(name), X.squash(name)
+    first = F.slice(X.tokens(name), 1, 1)
+    return F.array_distinct(F.concat(_tag("t", F.concat(first, F.filter(F.array(short), lambda t: t != ""))), F.array(F.concat(F.lit("w"), _first_word(low))), _tag("p", _beginnings(F.array(short)))))
+
+
+def _phrase_keys(low: Column, words: Column) -> Column:
+    return F.array_distinct(F.concat(_tag("t", words), _tag("w", F.concat(_words(low), F.array(F.lit(NO_WORD)))), _tag("p", _beginnings(words))))
 
 
-def resolve(phrases: DataFrame, columns: DataFrame, rows: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class NameIndex:
+    """A catalog made ready for phrases. columns: table_id, tpos, cpos, column_name, k. rows: table_id, rpos, row_key and forms. forms: table_id, rpos, t. keys: table_id, rpos, kind, k."""
+
+    columns: DataFrame
+    rows: DataFrame
+    forms: DataFrame
+    keys: DataFrame
+
+
+def name_index(columns: DataFrame, rows: DataFrame) -> NameIndex:
+    """columns: table_id, tpos, cpos, column_name; rows: table_id, tpos, rpos, row_key. Written once, for any number of batches of phrases."""
+    cols = durable(columns.select("table_id", "tpos", "cpos", "column_name", F.explode(_name_keys(F.col("column_name"))).alias("k")), "column-names")
+    known = durable(
+        rows.select("table_id", "rpos", "row_key", X.token_set(F.col("row_key")).alias("rtoks"), X.squash(F.col("row_key")).alias("rsq"), F.lower("row_key").alias("rlow")), "row-names"
+    )
+    forms = durable(known.select("table_id", "rpos", F.explode(F.array_distinct(F.concat("rtoks", F.array("rsq", "rlow")))).alias("t")).where("t <> ''").distinct(), "forms")
+    signs = known.where(F.col("rlow").rlike("[^a-z0-9]")).select("table_id", "rpos", F.lit("sign").alias("kind"), _first_word(F.col("rlow")).alias("k"))
+    small = known.groupBy("table_id").agg(F.countDistinct("rsq").alias("_f")).where(F.col("_f") <= PREFIX_FORMS).select("table_id")
+    short = known.join(small, "table_id", "left_semi").where(F.length("rsq") >= X.MIN_PREFIX).select("table_id", "rpos", F.lit("begin").alias("kind"), F.substring("rsq", 1, X.MIN_PREFIX).alias("k"))
+    return NameIndex(cols, known, forms, durable(signs.union(short), "row-keys"))
+
+
+@dataclass
+class IndexCache:
+    """Name indexes by what their catalog holds, so that an unchanged catalog is read once."""
+
+    made: dict[tuple, NameIndex] = field(default_factory=dict)
+
+    def get(self, columns: DataFrame, rows: DataFrame) -> NameIndex:
+        key = tuple(columns.agg(F.count("*"), F.sum(F.xxhash64(*columns.columns).cast("decimal(38,0)"))).first()) + tuple(rows.agg(F.count("*"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first())
+        if key not in self.made:
+            self.made[key] = name_index(columns, rows)
+        return self.made[key]
+
+
+def resolve(phrases: DataFrame, columns: DataFrame | None = None, rows: DataFrame | None = None, index: NameIndex | None = None) -> DataFrame:
     """pid, table_id, row_key, column_name of each phrase that names a column and a row of one table.
 
-    phrases: pid, phrase; columns: table_id, tpos, cpos, column_name; rows: table_id, tpos, rpos, row_key. The best column by tier, length,
+    phrases: pid, phrase; the catalog as an index, or as its frames. The best column of a table by tier, length,
     tokens, place; its tokens are taken out once; the best row of the rest likewise; the best table by the sums of tiers and
-    lengths. Rows are candidates only by a shared token or squashed form, by a name with signs that stands in the rest, or, in tables of few
-    distinct forms, by a prefix; the first two are equi-joins on tokens.
+    lengths, then its place. Rows are candidates only by a shared token or squashed form, by a name with signs that stands in the rest, or, in tables of few
+    distinct forms, by a prefix.
     """
+    index = index or name_index(columns, rows)
     p = phrases.select("pid", F.lower("phrase").alias("pl"), X.tokens(F.col("phrase")).alias("words")).where(F.size("words") > 0)
-    # Columns of a catalog are structure, not data: their number does not grow with the rows.
+    p = durable(p, "phrases")
+    asked = p.select("pid", F.explode(_phrase_keys(F.col("pl"), F.col("words"))).alias("k"))
+    met = asked.join(index.columns, "k").select("pid", "table_id", "tpos", "cpos", "column_name").distinct().join(p, "pid")
     tier = X.match_tier(F.col("column_name"), F.col("pl"), F.array_distinct("words"))
-    hit = p.join(columns, F.lit(True)).withColumn("ctier", tier).where("ctier > 0")
-    order = [F.desc("ctier"), F.desc(F.length("column_name")), F.desc(F.size(X.token_set(F.col("column_name")))), F.asc("cpos")]
-    best = hit.withColumn("_n", F.row_number().over(Window.partitionBy("pid", "table_id").orderBy(*order))).where("_n = 1").drop("_n")
-    consumed = F.array_distinct(F.concat(X.token_set(F.col("column_name")), F.array(X.squash(F.col("column_name")))))
-    rest = best.select("pid", "table_id", "tpos", "column_name", "ctier", X.without(F.col("pl"), F.col("column_name")).alias("rl"), X.residual(F.col("words"), consumed).alias("rset"))
-    known = rows.select("table_id", "rpos", "row_key", X.token_set(F.col("row_key")).alias("rtoks"), X.squash(F.col("row_key")).alias("rsq"), F.lower("row_key").alias("rlow"))
-    forms = known.select("table_id", "rpos", F.explode(F.array_distinct(F.concat("rtoks", F.array("rsq", "rlow")))).alias("t")).distinct()
-    shared = rest.select("pid", "table_id", F.explode("rset").alias("t")).join(forms, ["table_id", "t"]).select("pid", "table_id", "rpos")
-    signs = known.where(F.col("rlow").rlike("[^a-z0-9]")).select("table_id", "rpos", "rlow")
-    spoken = rest.where(F.col("rl").rlike("[^a-z ]")).join(signs, "table_id").where(F.regexp_like("rl", X.bounded(F.col("rlow")))).select("pid", "table_id", "rpos")
-    small = known.groupBy("table_id").agg(F.countDistinct("rsq").alias("_f")).where(F.col("_f") <= PREFIX_FORMS).select("table_id")
-    near = F.exists("rset", lambda w: (F.length(w) >= X.MIN_PREFIX) & (F.length("rsq") >= X.MIN_PREFIX) & (w.startswith(F.col("rsq")) | F.col("rsq").startswith(w)))
-    begun = rest.join(known.join(small, "table_id", "left_semi").select("table_id", "rpos", "rsq"), "table_id").where(near).select("pid", "table_id", "rpos")
-    found = shared.union(spoken).union(begun).distinct().join(rest, ["pid", "table_id"]).join(known, ["table_id", "rpos"])
-    scored = found.withColumn("rtier", X.match_tier(F.col("row_key"), F.col("rl"), F.col("rset"))).where("rtier > 0")
-    order = [F.desc("rtier"), F.desc(F.length("row_key")), F.desc(F.size("rtoks")), F.asc("rpos")]
-    one = scored.withColumn("_n", F.row_number().over(Window.partitionBy("pid", "table_id").orderBy(*order))).where("_n = 1")
-    order = [F.desc(F.col("ctier") + F.col("rtier")), F.desc(F.length("column_name") + F.length("row_key")), F.asc("tpos")]
-    top = one.withColumn("_n", F.row_number().over(Window.partitionBy("pid").orderBy(*order))).where("_n = 1")
-    return top.select("pid", "table_id", "row_key", "column_name")
-
-
-def answers(phrases: DataFrame, columns: DataFrame, rows: DataFrame, values: DataFrame) -> DataFrame:
+    rank = F.struct("ctier", F.length("column_name").alias("l"), F.size(X.token_set(F.col("column_name"))).alias("n"), (-F.col("cpos")).alias("c"), "column_name")
+    best = met.withColumn("ctier", tier).where("ctier > 0").groupBy("pid", "table_id", "tpos").agg(F.max(rank).alias("best")).join(p, "pid")
+    name = F.col("best.column_name")
+    consumed = F.array_distinct(F.concat(X.token_set(name), F.array(X.squash(name))))
+    rest = best.select("pid", "table_id", "tpos", name.alias("column_name"), F.col("best.ctier").alias("ctier"), X.without(F.col("pl"), name).alias("rl"), X.residual(F.col("words"), consumed).alias("rset"))
+    rest = durable(rest, "rest")
+    shared = rest.select("pid", "table_id", F.explode("rset").alias("t")).join(index.forms, ["table_id", "t"]).select("pid", "table_id", "rpos")
+    signs = rest.where(F.col("rl").rlike("[^a-z ]")).select("pid", "table_id", F.lit("sign").alias("kind"), F.explode(F.array_distinct(F.concat(_words(F.col("rl")), F.array(F.lit(NO_WORD))))).alias("k"))
+    begun = rest.select("pid", "table_id", F.lit("begin").alias("kind"), F.explode(F.array_distinct(_beginnings(F.col("rset")))).alias("k"))
+    other = signs.union(begun).join(index.keys, ["table_id", "kind", "k"]).select("pid", "table_id", "rpos", "kind")
+    found = shared.withColumn("kind", F.lit("form")).union(other).distinct().join(rest, ["pid", "table_id"]).join(index.rows, ["table_id", "rpos"])
+    near = F.exists("rset", lambda w: (F.length(w) >= X.MIN_PREFIX) & (w.startswith(F.col("rsq")) | F.col("rsq").startswith(w)))
+    fits = F.when(F.col("kind") == "form", F.lit(True)).when(F.col("kind") == "sign", F.regexp_like("rl", X.bounded(F.col("rlow")))).otherwise(near)
+    scored = found.where(fits).withColumn("rtier", X.match_tier(F.col("row_key"), F.col("rl"), F.col("rset"))).where("rtier > 0")
+    rank = F.struct("rtier", F.length("row_key").alias("l"), F.size("rtoks").alias("n"), (-F.col("rpos")).alias("r"), "row_key")
+    one = scored.groupBy("pid", "table_id", "tpos", "column_name", "ctier").agg(F.max(rank).alias("best"))
+    rank = F.struct((F.col("ctier") + F.col("best.rtier")).alias("tier"), (F.length("column_name") + F.col("best.l")).alias("l"), (-F.col("tpos")).alias("t"), "table_id", F.col("best.row_key").alias("row_key"), "column_name")
+    return one.groupBy("pid").agg(F.max(rank).alias("top")).select("pid", "top.table_id", "top.row_key", "top.column_name")
+
+
+def answers(phrases: DataFrame, columns: DataFrame | None, rows: DataFrame | None, values: DataFrame, index: NameIndex | None = None) -> DataFrame:
     """pid and value of every phrase; null where nothing was resolved. values: table_id, row_key, column_name, value."""
-    found = resolve(phrases, columns, rows).join(values, ["table_id", "row_key", "column_name"], "left")
+    found = resolve(phrases, columns, rows, index).join(values, ["table_id", "row_key", "column_name"], "left")
     return phrases.select("pid").join(found.select("pid", "value"), "pid", "left")

@@ -595,7 +595,7 @@ def q53_candidate_rank(spark, sf_dir):
 
 
 @query(CANDIDATES + """, p AS (SELECT *, lead(coverage) OVER w AS c2, lead(errors) OVER w AS e2, lead(gaps) OVER w AS g2 FROM r WINDOW w AS (PARTITION BY sheet ORDER BY rank))
-SELECT sheet, pos, coalesce(coverage >= c2 AND errors <= e2 AND gaps <= g2 AND (coverage > c2 OR errors < e2 OR gaps < g2), true) AS dominant FROM p WHERE rank = 1""")
+SELECT sheet, pos, coalesce(coverage >= c2 AND errors <= e2 AND gaps <= g2, true) AS dominant FROM p WHERE rank = 1""")
 def q53b_dominance(spark, sf_dir):
     return L.dominated(L.rank_candidates(_candidates(spark, sf_dir)))
 

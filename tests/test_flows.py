@@ -15,17 +15,19 @@ STACKED = [["Region", "Revenue"], ["NA", 100], ["EU", 200], [None], ["Product",
 
 
 def test_proposals_never_make_a_sheet_worse(spark):
-    grid = grid_from_lists(spark, {"s": STACKED, "t": STACKED, "ok": STACKED[:3]})
+    grid = grid_from_lists(spark, {"s": STACKED, "t": STACKED, "u": STACKED, "v": STACKED, "ok": STACKED[:3]})
     handles = detect_tables(grid)
     before = {r.sheet: r for r in score_layout(grid, handles).collect()}
-    assert before["s"].errors == 1 and before["ok"].errors == 0
-    good, bad = [(1, 1, 1, 1, 3, 2), (5, 1, 5, 1, 7, 2)], [(1, 1, 1, 1, 2, 2)]
-    asked = Scripted({"s": [bad, good], "t": [bad, [], []]})
-    after, decisions = recut(grid, handles, asked)
+    assert (before["s"].coverage, before["s"].total, before["s"].errors) == (6, 12, 0)
+    good, bad = [(1, 1, 1, 1, 3, 2), (5, 1, 5, 1, 7, 2)], [(1, 1, 1, 1, 3, 2)]
+    greedy = [(1, 1, 1, 1, 7, 2)]  # one region over both: a blank row inside
+    asked = Scripted({"s": [good], "t": [bad], "u": [greedy], "v": [[]]})
+    after, notes = recut(grid, handles, asked)
     scores = {r.sheet: r for r in score_layout(grid, after).collect()}
-    assert (scores["s"].coverage, scores["s"].errors) == (1.0, 0) and after.where("sheet = 's'").count() == 2
+    assert (scores["s"].coverage, scores["s"].errors) == (12, 0) and after.where("sheet = 's'").count() == 2
     assert all(scores[s].coverage >= before[s].coverage and scores[s].errors <= before[s].errors for s in before)
-    assert "ok" not in asked.asked and [r.accepted for r in decisions.where("sheet = 's'").orderBy("turn").collect()] == [False, True]
+    assert sorted(asked.asked) == ["s", "t", "u", "v"]
+    assert {(r.sheet, r.category, r.resolution, r.ref) for r in notes.collect()} == {("s", "uncovered-data", "fixed", "s!A5:B7"), ("t", "uncovered-data", "rejected", "t!A5:B7"), ("u", "uncovered-data", "rejected", "u!A5:B7"), ("v", "uncovered-data", "open", "v!A5:B7")}
 
 
 def test_landing_folder(spark, tmp_path):
