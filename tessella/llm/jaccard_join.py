@@ -3,8 +3,8 @@
 Exact for every pair of different texts. (1) Texts with the same shingle set are one class. (2) All sets follow one order of shingles (by
 hash, those that a sample shows in several documents last). Of each set only a prefix is a key: so long that two linked sets of n
 shingles have 1 + n / SPARE of their keys in common. Keys that one class alone has are dropped (each task first settles what its own
-texts share, and sends two classes of a key at most), and with them each class that has too few left to be linked with anything. (3) The classes left are partitioned into groups of similar sets, by a common key and one round
-of moving each class to where most of its keys are. The token-group matrix holds each group's union of keys. (4) Groups are looked up in
+texts share, and sends two classes of a key at most), and with them each class that has too few left to be linked with anything. (3) The classes left are partitioned into groups of similar sets, by a common key, one round
+of moving each class to where most of its keys are, and size. The token-group matrix holds each group's union of keys. (4) Groups are looked up in
 the matrix by a join on the key: the number of shared cells bounds the overlap of each member of one group with each of the
 other, and only pairs of groups that reach it, with sizes that fit, are opened. (5) In an opened pair a finer matrix, over all
 shingles and subgroups of SUBGROUP sets, bounds each query again, and what it opens is compared.
@@ -36,6 +36,7 @@ SPARE = 20
 GROUP_DOCS = 512
 ROOT = 4
 GROUP_SHINGLES = 1 << 19
+SIZE_STEP = 1.25
 SUBGROUP = 16
 SLICE_BYTES = 1 << 19
 #: Bytes of text whose keys one task compares.
@@ -323,13 +324,15 @@ def grouped_classes(scanned: DataFrame, buckets: int, classes: DataFrame, percen
     hubs = stash(hubs, "hubs")
     votes = open_.join(hubs, "key").groupBy("node", "hub").agg(F.count("*").alias("c"))
     placed = live.drop("label").join(votes.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("best")), "node").select("node", "n", "keys", F.col("best.hub").alias("label"))
-    placed = stash(placed, "labels")
-    sums = placed.groupBy("label").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"))
+    placed = labelled = stash(placed, "labels")
+    # Sets of one group are about as large as each other, so that its smallest one says much about what a link to it needs.
+    placed = placed.withColumn("size", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int"))
+    sums = placed.groupBy("label", "size").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"))
     most = F.greatest(F.lit(GROUP_DOCS), ROOT * F.sqrt("docs"))
-    sums = sums.select("label", F.greatest(F.ceil(F.col("docs") / most), F.ceil(F.col("weight") / GROUP_SHINGLES)).alias("parts"))
-    gid = F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("parts")))
-    out = stash(placed.join(sums, "label").select("node", "n", gid.alias("gid"), "keys"), "groups")
-    discard(held, live, hubs, placed)
+    sums = sums.select("label", "size", F.greatest(F.ceil(F.col("docs") / most), F.ceil(F.col("weight") / GROUP_SHINGLES)).alias("parts"))
+    gid = F.xxhash64("label", "size", F.pmod(F.xxhash64("node"), F.col("parts")))
+    out = stash(placed.join(sums, ["label", "size"]).select("node", "n", gid.alias("gid"), "keys"), "groups")
+    discard(held, live, hubs, labelled)
     return out
 
 
@@ -345,7 +348,9 @@ def qualifying_pairs(placed: DataFrame, percent: int) -> DataFrame:
     both = matrix.select("key", F.col("gid").alias("ga")).join(matrix.select("key", F.col("gid").alias("gb")), "key").where("ga < gb")
     shared = both.groupBy("ga", "gb").agg(F.count("*").alias("c"))
     a, b = (groups.select(F.col("gid").alias(f"g{x}"), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}")) for x in "ab")
-    fits = (F.col("c") >= 1 + F.floor(F.least("lo_a", "lo_b") / SPARE)) & (F.col("hi_a") * 100 >= F.col("lo_b") * percent) & (F.col("hi_b") * 100 >= F.col("lo_a") * percent)
+    # Of two linked sets the smaller one is at least percent of the larger one.
+    smaller = F.greatest(F.least("lo_a", "lo_b"), F.ceil(F.greatest("lo_a", "lo_b") * percent / 100))
+    fits = (F.col("c") >= 1 + F.floor(smaller / SPARE)) & (F.col("hi_a") * 100 >= F.col("lo_b") * percent) & (F.col("hi_b") * 100 >= F.col("lo_a") * percent)
     return stash(shared.join(a, "ga").join(b, "gb").where(fits).select("ga", "gb").union(groups.where("docs > 1").select("gid", "gid")), "pairs")
 
 
