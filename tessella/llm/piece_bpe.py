@@ -24,7 +24,7 @@ from tessella.llm.common import release, slices, texts_of
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 #: Units that a worker remembers at a time.
-UNITS_KEPT = 100_000
+UNITS_KEPT = 120_000
 BATCH_BYTES = 2 << 20
 
 
@@ -56,6 +56,7 @@ class PieceModel:
         self.pair_keys = np.array([k for k, _ in pairs] or [-1], dtype=np.int64)
         self.pair_piece = np.array([p for _, p in pairs] or [0], dtype=np.int32)
         self.pair_rank = rank_of[self.pair_piece]
+        self._fill_table()
         # Pieces that a better or equally good merge can follow: merged one at a time.
         self.careful = np.zeros(self.n_symbols, dtype=bool)
         for side in (self.pair_keys // self.n_symbols, self.pair_keys % self.n_symbols):
@@ -73,15 +74,41 @@ class PieceModel:
         self.surface = np.frombuffer(b"".join(surfaces), dtype=np.uint8)
         self.surface_len = np.array([len(s) for s in surfaces], dtype=np.int64)
         self.surface_at = np.concatenate([[0], np.cumsum(self.surface_len)])[:-1]
-        self.decimal = [b" %d" % i for i in range(size)]
+        numbers = [b" %d" % i for i in range(size)]
+        self.decimal = np.frombuffer(b"".join(numbers), dtype=np.uint8)
+        self.decimal_len = np.array([len(n) for n in numbers], dtype=np.int64)
+        self.decimal_at = np.concatenate([[0], np.cumsum(self.decimal_len)])[:-1]
         self._ids: dict[str, bytes] = {}
 
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.table_bits)).astype(np.int64)
+
+    def _fill_table(self) -> None:
+        """Pairs in an open table, a quarter full, so that a pair is found at its slot or a few behind it."""
+        self.table_bits = max(4, (4 * len(self.pair_keys) - 1).bit_length())
+        self.table = np.full(1 << self.table_bits, -1, dtype=np.int64)
+        self.table_rank, self.table_piece = np.full(len(self.table), NONE, np.int32), np.zeros(len(self.table), np.int32)
+        left = np.flatnonzero(self.pair_keys >= 0)
+        at = self._slots(self.pair_keys[left])
+        while len(left):
+            free = self.table[at] < 0
+            self.table[at[free]] = self.pair_keys[left[free]]  # of several for one slot the last one stays
+            done = self.table[at] == self.pair_keys[left]
+            self.table_rank[at[done]], self.table_piece[at[done]] = self.pair_rank[left[done]], self.pair_piece[left[done]]
+            left, at = left[~done], (at[~done] + 1) & (len(self.table) - 1)
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged piece of neighbouring symbols; rank NONE where they do not merge."""
         key = left.astype(np.int64) * self.n_symbols + right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        found = self.pair_keys[at] == key
-        return np.where(found, self.pair_rank[at], NONE).astype(np.int32), self.pair_piece[at]
+        at = self._slots(key)
+        found = self.table[at]
+        missed = np.flatnonzero((found != key) & (found >= 0))
+        while len(missed):
+            at[missed] = (at[missed] + 1) & (len(self.table) - 1)
+            found[missed] = now = self.table[at[missed]]
+            missed = missed[(now != key[missed]) & (now >= 0)]
+        # An empty slot has rank NONE.
+        return self.table_rank[at], self.table_piece[at]
 
     def tempting(self, symbol: np.ndarray, unit: np.ndarray, rank: np.ndarray, piece: np.ndarray, hit: np.ndarray) -> np.ndarray:
         """For each merge, those to its left being done: whether the merged piece makes a pair as good or better with a neighbour."""
@@ -95,9 +122,9 @@ class PieceModel:
         best = np.minimum(np.where(has_left, self.ranks(left, piece[hit])[0], NONE), np.where(has_right, self.ranks(piece[hit], symbol[at])[0], NONE))
         return best <= rank[hit]
 
-    def merge(self, units: Sequence[str]) -> list[np.ndarray]:
-        """Symbols of each unit when no pair is left."""
-        done: list[np.ndarray] = [np.zeros(0, np.int32)] * len(units)
+    def merge(self, units: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols when no pair is left, unit after unit, and the number of symbols of each unit."""
+        done: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int32))]
         other = self.n_symbols - 1
         lengths = np.array([len(u) for u in units], dtype=np.int64)
         chars, where = np.unique(np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4"), return_inverse=True)
@@ -118,9 +145,8 @@ class PieceModel:
             low = np.minimum.reduceat(rank, start)
             size = np.diff(start, append=len(symbol))
             if (low == NONE).any():
-                for k in np.flatnonzero(low == NONE):
-                    done[unit[start[k]]] = symbol[start[k] : start[k] + size[k]].copy()
                 keep = np.repeat(low != NONE, size)
+                done.append((unit[~keep], symbol[~keep]))
                 symbol, unit, rank, piece = symbol[keep], unit[keep], rank[keep], piece[keep]
                 low, size = low[low != NONE], size[low != NONE]
                 if not len(symbol):
@@ -142,7 +168,8 @@ class PieceModel:
             now = hit - np.arange(len(hit))  # places after the compaction
             symbol, unit, rank, piece = symbol[keep], unit[keep], rank[keep], piece[keep]
             refresh(np.concatenate([now - 1, now]))
-        return done
+        of, symbols = (np.concatenate(c) for c in zip(*done, strict=True))
+        return symbols[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(units))
 
     def unit_ids(self, unit: str, symbols: np.ndarray) -> list[int]:
         out: list[int] = []
@@ -165,9 +192,13 @@ class PieceModel:
 
     def learn(self, units: Sequence[str]) -> None:
         """Encode units that are not known yet and keep their ids, as uint32 bytes."""
-        for unit, symbols in zip(units, self.merge(units), strict=True):
-            ids = self.unit_ids(unit, symbols) if len(symbols) and symbols.max() >= self.size else symbols.tolist()
-            self._ids[unit] = np.array(ids, dtype="<u4").tobytes()
+        symbols, n = self.merge(units)
+        ends = np.cumsum(n)
+        data, cut = symbols.astype("<u4").tobytes(), (4 * ends).tolist()
+        self._ids.update(zip(units, map(data.__getitem__, map(slice, [0, *cut[:-1]], cut)), strict=True))
+        # Units with a character that is no piece.
+        for k in np.unique(np.searchsorted(ends, np.flatnonzero(symbols >= self.size), side="right")).tolist():
+            self._ids[units[k]] = np.array(self.unit_ids(units[k], symbols[ends[k] - n[k] : ends[k]]), dtype="<u4").tobytes()
 
     def units(self, text: str) -> list[str]:
         """Cut at spaces and line breaks; the first unit has the dummy prefix."""
@@ -189,14 +220,11 @@ class PieceModel:
 
     def as_decimal(self, ids: np.ndarray) -> bytes:
         """The ids as decimal numbers, a space between them."""
-        return b"".join(map(self.decimal.__getitem__, ids.tolist()))[1:]
+        return _gather(self.decimal, self.decimal_at, self.decimal_len, ids)[1:]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: surfaces side by side, control pieces empty, one dummy space dropped at the front."""
-        n = self.surface_len[ids]
-        total = int(n.sum())
-        ends = np.cumsum(n)
-        data = self.surface[np.repeat(self.surface_at[ids] - (ends - n), n) + np.arange(total)].tobytes()
+        data = _gather(self.surface, self.surface_at, self.surface_len, ids)
         try:
             text = data.decode("utf-8")
         except UnicodeDecodeError:  # byte pieces that are no text: the library's own replacement rule
@@ -213,6 +241,13 @@ class PieceModel:
         return set(self.byte_ids.values())
 
 
+def _gather(data: np.ndarray, at: np.ndarray, length: np.ndarray, ids: np.ndarray) -> bytes:
+    """The byte strings of ids side by side, from a table of all strings, where each begins, and its length."""
+    n = length[ids]
+    ends = np.cumsum(n)
+    return data[np.repeat(at[ids] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+
+
 @lru_cache(maxsize=2)
 def load(model_file: str) -> PieceModel:
     """A worker process keeps the model for its later tasks."""
