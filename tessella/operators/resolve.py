@@ -48,11 +48,13 @@ def _phrase_keys(low: Column, words: Column) -> Column:
 
 @dataclass(frozen=True)
 class NameIndex:
-    """A catalog made ready for phrases. columns: table_id, tpos, cpos, column_name, k. rows: table_id, rpos, row_key and forms. forms: table_id, rpos, t. keys: table_id, rpos, kind, k."""
+    """A catalog made ready for phrases. columns: table_id, tpos, cpos, column_name, k. rows: table_id, rpos, row_key and forms. forms: table_id, rpos, t.
+    rare: as forms, each row under its rarest token, its squashed and its lower form only. keys: table_id, rpos, kind, k."""
 
     columns: DataFrame
     rows: DataFrame
     forms: DataFrame
+    rare: DataFrame
     keys: DataFrame
 
 
@@ -63,10 +65,14 @@ def name_index(columns: DataFrame, rows: DataFrame) -> NameIndex:
         rows.select("table_id", "rpos", "row_key", X.token_set(F.col("row_key")).alias("rtoks"), X.squash(F.col("row_key")).alias("rsq"), F.lower("row_key").alias("rlow")), "row-names"
     )
     forms = durable(known.select("table_id", "rpos", F.explode(F.array_distinct(F.concat("rtoks", F.array("rsq", "rlow")))).alias("t")).where("t <> ''").distinct(), "forms")
+    often = forms.groupBy("table_id", "t").agg(F.count("*").alias("_c"))
+    rarest = known.select("table_id", "rpos", F.explode("rtoks").alias("t")).join(often, ["table_id", "t"]).groupBy("table_id", "rpos").agg(F.min_by("t", F.struct("_c", "t")).alias("t"))
+    whole = known.select("table_id", "rpos", F.explode(F.array("rsq", "rlow")).alias("t")).where("t <> ''")
+    rare = durable(rarest.union(whole).distinct(), "rare-forms")
     signs = known.where(F.col("rlow").rlike("[^a-z0-9]")).select("table_id", "rpos", F.lit("sign").alias("kind"), _first_word(F.col("rlow")).alias("k"))
     small = known.groupBy("table_id").agg(F.countDistinct("rsq").alias("_f")).where(F.col("_f") <= PREFIX_FORMS).select("table_id")
     short = known.join(small, "table_id", "left_semi").where(F.length("rsq") >= X.MIN_PREFIX).select("table_id", "rpos", F.lit("begin").alias("kind"), F.substring("rsq", 1, X.MIN_PREFIX).alias("k"))
-    return NameIndex(cols, known, forms, durable(signs.union(short), "row-keys"))
+    return NameIndex(cols, known, forms, rare, durable(signs.union(short), "row-keys"))
 
 
 @dataclass
@@ -102,16 +108,27 @@ def resolve(phrases: DataFrame, columns: DataFrame | None = None, rows: DataFram
     consumed = F.array_distinct(F.concat(X.token_set(name), F.array(X.squash(name))))
     rest = best.select("pid", "table_id", "tpos", name.alias("column_name"), F.col("best.ctier").alias("ctier"), X.without(F.col("pl"), name).alias("rl"), X.residual(F.col("words"), consumed).alias("rset"))
     rest = durable(rest, "rest")
-    shared = rest.select("pid", "table_id", F.explode("rset").alias("t")).join(index.forms, ["table_id", "t"]).select("pid", "table_id", "rpos")
     signs = rest.where(F.col("rl").rlike("[^a-z ]")).select("pid", "table_id", F.lit("sign").alias("kind"), F.explode(F.array_distinct(F.concat(_words(F.col("rl")), F.array(F.lit(NO_WORD))))).alias("k"))
     begun = rest.select("pid", "table_id", F.lit("begin").alias("kind"), F.explode(F.array_distinct(_beginnings(F.col("rset")))).alias("k"))
-    other = signs.union(begun).join(index.keys, ["table_id", "kind", "k"]).select("pid", "table_id", "rpos", "kind")
-    found = shared.withColumn("kind", F.lit("form")).union(other).distinct().join(rest, ["pid", "table_id"]).join(index.rows, ["table_id", "rpos"])
-    near = F.exists("rset", lambda w: (F.length(w) >= X.MIN_PREFIX) & (w.startswith(F.col("rsq")) | F.col("rsq").startswith(w)))
-    fits = F.when(F.col("kind") == "form", F.lit(True)).when(F.col("kind") == "sign", F.regexp_like("rl", X.bounded(F.col("rlow")))).otherwise(near)
-    scored = found.where(fits).withColumn("rtier", X.match_tier(F.col("row_key"), F.col("rl"), F.col("rset"))).where("rtier > 0")
-    rank = F.struct("rtier", F.length("row_key").alias("l"), F.size("rtoks").alias("n"), (-F.col("rpos")).alias("r"), "row_key")
-    one = scored.groupBy("pid", "table_id", "tpos", "column_name", "ctier").agg(F.max(rank).alias("best"))
+    other = durable(signs.union(begun).join(index.keys, ["table_id", "kind", "k"]).select("pid", "table_id", "rpos").distinct(), "begun")
+    small = index.keys.where("kind = 'begin'").select("table_id").distinct().withColumn("_small", F.lit(True))
+
+    def best_rows(asked: DataFrame, candidates: DataFrame) -> DataFrame:
+        """The best row of each phrase and table among candidates (pid, table_id, rpos) that the rules admit."""
+        found = candidates.join(asked, ["pid", "table_id"]).join(index.rows, ["table_id", "rpos"]).join(small, "table_id", "left")
+        by_form = F.arrays_overlap("rtoks", "rset") | F.array_contains("rset", F.col("rsq")) | F.array_contains("rset", F.col("rlow"))
+        by_sign = F.col("rl").rlike("[^a-z ]") & F.col("rlow").rlike("[^a-z0-9]") & F.regexp_like("rl", X.bounded(F.col("rlow")))
+        near = F.exists("rset", lambda w: (F.length(w) >= X.MIN_PREFIX) & (F.length("rsq") >= X.MIN_PREFIX) & (w.startswith(F.col("rsq")) | F.col("rsq").startswith(w)))
+        scored = found.where(by_form | by_sign | (F.coalesce("_small", F.lit(False)) & near)).withColumn("rtier", X.match_tier(F.col("row_key"), F.col("rl"), F.col("rset"))).where("rtier > 0")
+        rank = F.struct("rtier", F.length("row_key").alias("l"), F.size("rtoks").alias("n"), (-F.col("rpos")).alias("r"), "row_key")
+        return scored.groupBy("pid", "table_id", "tpos", "column_name", "ctier").agg(F.max(rank).alias("best"))
+
+    # A row that is named in full is met under its rarest token; only phrases that name none in full look at every row that shares a token.
+    said = rest.select("pid", "table_id", F.explode(F.array_distinct(F.concat("rset", _words(F.col("rl"))))).alias("t")).join(index.rare, ["table_id", "t"]).select("pid", "table_id", "rpos")
+    full = durable(best_rows(rest, said.union(other).distinct()).where("best.rtier >= 2"), "named")
+    open_ = durable(rest.join(full.select("pid", "table_id"), ["pid", "table_id"], "left_anti"), "open")
+    shared = open_.select("pid", "table_id", F.explode("rset").alias("t")).join(index.forms, ["table_id", "t"]).select("pid", "table_id", "rpos")
+    one = full.union(best_rows(open_, shared.union(other.join(open_.select("pid", "table_id"), ["pid", "table_id"], "left_semi")).distinct()))
     rank = F.struct((F.col("ctier") + F.col("best.rtier")).alias("tier"), (F.length("column_name") + F.col("best.l")).alias("l"), (-F.col("tpos")).alias("t"), "table_id", F.col("best.row_key").alias("row_key"), "column_name")
     return one.groupBy("pid").agg(F.max(rank).alias("top")).select("pid", "top.table_id", "top.row_key", "top.column_name")
 
