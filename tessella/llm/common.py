@@ -42,9 +42,18 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def stash(frame: DataFrame, kind: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder, read again. A lost executor costs no earlier stage."""
+#: Rows of a table of a few columns that one file of an intermediate table holds at least.
+FILE_ROWS = 200_000
+
+
+def stash(frame: DataFrame, kind: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write to the shared folder, read again. A lost executor costs no earlier stage.
+
+    rows: about how many rows there are, where that is known; few rows are then written by few tasks.
+    """
     spark, path = frame.sparkSession, fresh_dir(frame.sparkSession, kind)
+    if rows is not None:
+        frame = frame.coalesce(rows // FILE_ROWS + 1)
     frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 

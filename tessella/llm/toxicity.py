@@ -162,7 +162,8 @@ def train(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         known.clear()
         release()
 
-    sample = stash(picked.mapInArrow(run, "positive boolean, unlabelled boolean, features array<long>, shares array<float>"), "sample")
+    # The sample is bounded, whatever the number of tasks that look for it: a few files hold it.
+    sample = stash(picked.mapInArrow(run, "positive boolean, unlabelled boolean, features array<long>, shares array<float>").repartition(8), "sample")
     n_p, n_u = sample.agg(F.count_if("positive"), F.count_if("unlabelled")).first()
     prior = float(toxic) / n
     if not n_p or not n_u:
