@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import stash
+from tessella.llm.common import discard, stash
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -27,8 +27,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = stash(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        last, now = now, stash(small.select("e.u", "e.v").where("u <> v").distinct(), "edges", before[0])
         after = _state(now)
+        discard(last)
         if after == before:
             break
         before = after

@@ -318,20 +318,21 @@ def grouped_classes(scanned: DataFrame, buckets: int, classes: DataFrame, percen
     need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / SPARE)
     live = held.join(classes.select("d1", "node", "n"), "d1").where(F.size("keys") >= need)
     live = stash(live.select("node", "n", "keys", F.array_min("keys").alias("label")), "live")
+    few = int(live.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0])
     # Each key names the label that most of its classes have; each class takes the label that most of its keys name.
     open_ = live.select("node", "label", F.explode("keys").alias("key"))
     hubs = open_.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("best")).select("key", F.col("best.label").alias("hub"))
-    hubs = stash(hubs, "hubs")
+    hubs = stash(hubs, "hubs", few)
     votes = open_.join(hubs, "key").groupBy("node", "hub").agg(F.count("*").alias("c"))
     placed = live.drop("label").join(votes.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("best")), "node").select("node", "n", "keys", F.col("best.hub").alias("label"))
-    placed = labelled = stash(placed, "labels")
+    placed = labelled = stash(placed, "labels", few)
     # Sets of one group are about as large as each other, so that its smallest one says much about what a link to it needs.
     placed = placed.withColumn("size", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int"))
     sums = placed.groupBy("label", "size").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"))
     most = F.greatest(F.lit(GROUP_DOCS), ROOT * F.sqrt("docs"))
     sums = sums.select("label", "size", F.greatest(F.ceil(F.col("docs") / most), F.ceil(F.col("weight") / GROUP_SHINGLES)).alias("parts"))
     gid = F.xxhash64("label", "size", F.pmod(F.xxhash64("node"), F.col("parts")))
-    out = stash(placed.join(sums, ["label", "size"]).select("node", "n", gid.alias("gid"), "keys"), "groups")
+    out = stash(placed.join(sums, ["label", "size"]).select("node", "n", gid.alias("gid"), "keys"), "groups", few)
     discard(held, live, hubs, labelled)
     return out
 
@@ -341,8 +342,9 @@ def qualifying_pairs(placed: DataFrame, percent: int) -> DataFrame:
 
     A shared cell is a key that both unions have. Their number bounds the shared keys of any two members.
     """
-    groups = stash(placed.groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("docs")), "sizes")
-    matrix = stash(placed.select("gid", F.explode("keys").alias("key")).distinct(), "matrix")
+    few = int(placed.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0])
+    groups = stash(placed.groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("docs")), "sizes", few)
+    matrix = stash(placed.select("gid", F.explode("keys").alias("key")).distinct(), "matrix", few)
     wide = matrix.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     matrix = matrix.join(wide, "key")
     both = matrix.select("key", F.col("gid").alias("ga")).join(matrix.select("key", F.col("gid").alias("gb")), "key").where("ga < gb")
@@ -351,7 +353,7 @@ def qualifying_pairs(placed: DataFrame, percent: int) -> DataFrame:
     # Of two linked sets the smaller one is at least percent of the larger one.
     smaller = F.greatest(F.least("lo_a", "lo_b"), F.ceil(F.greatest("lo_a", "lo_b") * percent / 100))
     fits = (F.col("c") >= 1 + F.floor(smaller / SPARE)) & (F.col("hi_a") * 100 >= F.col("lo_b") * percent) & (F.col("hi_b") * 100 >= F.col("lo_a") * percent)
-    return stash(shared.join(a, "ga").join(b, "gb").where(fits).select("ga", "gb").union(groups.where("docs > 1").select("gid", "gid")), "pairs")
+    return stash(shared.join(a, "ga").join(b, "gb").where(fits).select("ga", "gb").union(groups.where("docs > 1").select("gid", "gid")), "pairs", few)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
@@ -359,9 +361,14 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
         yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
 
 
+def task_count(spark, shingles: int) -> int:
+    """Tasks for work on so many shingles: a megabyte or more of them each, some more for the sake of spread."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles // (1 << 17) + 16))
+
+
 def packed_groups(documents: DataFrame, members: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """One row per group: node, rep and copies of its members, the sizes of their sets, and the sets side by side. members: gid, node, rep, copies, d1, d2."""
-    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """One row per group: node, rep and copies of its members, the sizes of their sets, and the sets side by side. members: gid, node, n, rep, copies, d1, d2."""
+    tasks = task_count(documents.sparkSession, int(members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
     chosen = documents.select(F.col(doc_id).alias("rep"), F.col(text).alias("text")).join(sized_broadcast(members, members.count()), "rep")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +396,8 @@ def packed_groups(documents: DataFrame, members: DataFrame, words: int, doc_id:
 
 def opened_links(packed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """u, v: reps of linked classes, a forest of each opened pair; and, where u is null, node, linked: with how many rows of a pair a class is linked."""
-    tasks = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weight = pairs.select(F.explode(F.array("ga", "gb")).alias("gid")).join(packed.select("gid", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n).alias("w")), "gid")
+    tasks = task_count(packed.sparkSession, int(weight.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (a, b), rows in itertools.groupby(rows_of(batches, "ga", "gb", *MEMBER, "sizes", "tokens"), key=lambda r: r[:2]):
@@ -423,7 +431,7 @@ def jaccard_join(documents: DataFrame, words: int = 5, percent: int = 80, doc_id
     classes = stash(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()), "classes")
     placed = grouped_classes(written, buckets, classes, percent)
     pairs = qualifying_pairs(placed, percent)
-    members = stash(placed.select("node", "gid").join(classes, "node").select("gid", *MEMBER, "d1", "d2"), "members")
+    members = stash(placed.select("node", "gid").join(classes, "node").select("gid", "n", *MEMBER, "d1", "d2"), "members", placed.count())
     packed = packed_groups(documents, members, words, doc_id, text)
     found = opened_links(packed, pairs, percent)
     discard(placed, pairs, members, packed)

@@ -168,6 +168,7 @@ def score_patterns(edges: DataFrame, min_score: float = MIN_SCORE, min_known: in
     Rounds end when one accepts no further pattern; as accepted ones stay, there is an end.
     """
     links = stash(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("own")), "links")
+    few = links.count()
     seeds = links.where("own is not null").groupBy("instance").agg(F.max("own").alias("kind"), F.lit(1.0).alias("trust"))
     known, accepted, n = seeds, None, 0
     while True:
@@ -182,7 +183,7 @@ def score_patterns(edges: DataFrame, min_score: float = MIN_SCORE, min_known: in
         now = scored.where((F.col("score") >= min_score) & (F.col("known") >= min_known)).select("pattern", "kind", "score")
         if accepted is not None:
             now = accepted.unionByName(now.join(accepted.select("pattern"), "pattern", "left_anti"))
-        accepted = stash(now, "patterns")
+        accepted = stash(now, "patterns", few)
         before, n = n, accepted.count()
         if n == before:
             discard(links)
