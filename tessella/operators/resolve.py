@@ -69,7 +69,9 @@ def name_index(columns: DataFrame, rows: DataFrame) -> NameIndex:
     rarest = known.select("table_id", "rpos", F.explode("rtoks").alias("t")).join(often, ["table_id", "t"]).groupBy("table_id", "rpos").agg(F.min_by("t", F.struct("_c", "t")).alias("t"))
     whole = known.select("table_id", "rpos", F.explode(F.array("rsq", "rlow")).alias("t")).where("t <> ''")
     rare = durable(rarest.union(whole).distinct(), "rare-forms")
-    signs = known.where(F.col("rlow").rlike("[^a-z0-9]")).select("table_id", "rpos", F.lit("sign").alias("kind"), _first_word(F.col("rlow")).alias("k"))
+    signed = known.where(F.col("rlow").rlike("[^a-z0-9]")).select("table_id", "rpos", F.explode(F.when(F.size(_words(F.col("rlow"))) > 0, F.array_distinct(_words(F.col("rlow")))).otherwise(F.array(F.lit(NO_WORD)))).alias("k"))
+    common = signed.groupBy("table_id", "k").agg(F.count("*").alias("_c"))
+    signs = signed.join(common, ["table_id", "k"]).groupBy("table_id", "rpos").agg(F.min_by("k", F.struct("_c", "k")).alias("k")).select("table_id", "rpos", F.lit("sign").alias("kind"), "k")
     small = known.groupBy("table_id").agg(F.countDistinct("rsq").alias("_f")).where(F.col("_f") <= PREFIX_FORMS).select("table_id")
     short = known.join(small, "table_id", "left_semi").where(F.length("rsq") >= X.MIN_PREFIX).select("table_id", "rpos", F.lit("begin").alias("kind"), F.substring("rsq", 1, X.MIN_PREFIX).alias("k"))
     return NameIndex(cols, known, forms, rare, durable(signs.union(short), "row-keys"))
@@ -109,8 +111,7 @@ def resolve(phrases: DataFrame, columns: DataFrame | None = None, rows: DataFram
     rest = best.select("pid", "table_id", "tpos", name.alias("column_name"), F.col("best.ctier").alias("ctier"), X.without(F.col("pl"), name).alias("rl"), X.residual(F.col("words"), consumed).alias("rset"))
     rest = durable(rest, "rest")
     signs = rest.where(F.col("rl").rlike("[^a-z ]")).select("pid", "table_id", F.lit("sign").alias("kind"), F.explode(F.array_distinct(F.concat(_words(F.col("rl")), F.array(F.lit(NO_WORD))))).alias("k"))
-    begun = rest.select("pid", "table_id", F.lit("begin").alias("kind"), F.explode(F.array_distinct(_beginnings(F.col("rset")))).alias("k"))
-    other = durable(signs.union(begun).join(index.keys, ["table_id", "kind", "k"]).select("pid", "table_id", "rpos").distinct(), "begun")
+    other = durable(signs.join(index.keys, ["table_id", "kind", "k"]).select("pid", "table_id", "rpos").distinct(), "signed")
     small = index.keys.where("kind = 'begin'").select("table_id").distinct().withColumn("_small", F.lit(True))
 
     def best_rows(asked: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -123,11 +124,12 @@ def resolve(phrases: DataFrame, columns: DataFrame | None = None, rows: DataFram
         rank = F.struct("rtier", F.length("row_key").alias("l"), F.size("rtoks").alias("n"), (-F.col("rpos")).alias("r"), "row_key")
         return scored.groupBy("pid", "table_id", "tpos", "column_name", "ctier").agg(F.max(rank).alias("best"))
 
-    # A row that is named in full is met under its rarest token; only phrases that name none in full look at every row that shares a token.
+    # A row that is named in full is met under its rarest token; only phrases that name none in full look at every row that shares a token or a beginning.
     said = rest.select("pid", "table_id", F.explode(F.array_distinct(F.concat("rset", _words(F.col("rl"))))).alias("t")).join(index.rare, ["table_id", "t"]).select("pid", "table_id", "rpos")
     full = durable(best_rows(rest, said.union(other).distinct()).where("best.rtier >= 2"), "named")
     open_ = durable(rest.join(full.select("pid", "table_id"), ["pid", "table_id"], "left_anti"), "open")
-    shared = open_.select("pid", "table_id", F.explode("rset").alias("t")).join(index.forms, ["table_id", "t"]).select("pid", "table_id", "rpos")
+    begun = open_.select("pid", "table_id", F.lit("begin").alias("kind"), F.explode(F.array_distinct(_beginnings(F.col("rset")))).alias("k")).join(index.keys, ["table_id", "kind", "k"]).select("pid", "table_id", "rpos")
+    shared = open_.select("pid", "table_id", F.explode("rset").alias("t")).join(index.forms, ["table_id", "t"]).select("pid", "table_id", "rpos").union(begun)
     one = full.union(best_rows(open_, shared.union(other.join(open_.select("pid", "table_id"), ["pid", "table_id"], "left_semi")).distinct()))
     rank = F.struct((F.col("ctier") + F.col("best.rtier")).alias("tier"), (F.length("column_name") + F.col("best.l")).alias("l"), (-F.col("tpos")).alias("t"), "table_id", F.col("best.row_key").alias("row_key"), "column_name")
     return one.groupBy("pid").agg(F.max(rank).alias("top")).select("pid", "top.table_id", "top.row_key", "top.column_name")
