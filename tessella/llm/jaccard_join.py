@@ -3,9 +3,10 @@
 Exact for every pair of different texts. (1) Texts with the same shingle set are one class. (2) All sets follow one order of shingles (by
 hash, those that a sample shows in several documents last). Of each set only a prefix is a key: so long that two linked sets of n
 shingles have 1 + n / SPARE of their keys in common. Keys that one class alone has are dropped (each task first settles what its own
-texts share, and sends two classes of a key at most), and with them each class that has too few left to be linked with anything. (3) The classes left are partitioned into groups of similar sets, by a common key, one round
+texts share, and sends two classes of a key at most), and with them each class that has too few left to be linked with anything. Of the rest, each class leaves out its most frequent keys, so
+many that a linked set still shares one. (3) The classes left are partitioned into groups of similar sets, by a common key, one round
 of moving each class to where most of its keys are, and size. The token-group matrix holds each group's union of keys. (4) Groups are looked up in
-the matrix by a join on the key: the number of shared cells bounds the overlap of each member of one group with each of the
+the matrix by a join on the key: the number of keys that two unions share bounds the overlap of each member of one group with each of the
 other, and only pairs of groups that reach it, with sizes that fit, are opened. (5) In an opened pair a finer matrix, over all
 shingles and subgroups of SUBGROUP sets, bounds each query again, and what it opens is compared.
 """
@@ -31,7 +32,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 COMMON_SAMPLE = 8000
 COMMON_IN = 3
 #: Two linked sets of n shingles or more share 1 + n // SPARE keys at least. Any choice gives the same result.
-SPARE = 20
+SPARE = 8
 #: Sets of a group: so many, or for large families ROOT times the root of their number, as long as their shingles are no more than GROUP_SHINGLES.
 GROUP_DOCS = 512
 ROOT = 4
@@ -310,21 +311,25 @@ def shared_cells(scanned: DataFrame, buckets: int) -> DataFrame:
 
 
 def grouped_classes(scanned: DataFrame, buckets: int, classes: DataFrame, percent: int) -> DataFrame:
-    """node, n, gid and keys (those that other classes have too) of the classes that can be linked with any other.
+    """node, n, gid, keys (those that other classes have too) and rare (the keys to look up) of the classes that can be linked with any other.
 
     classes: d1, node and n of each class.
     """
     held = stash(shared_cells(scanned, buckets).groupBy("d1").agg(F.collect_set("key").alias("keys")), "held")
-    need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / SPARE)
-    live = held.join(classes.select("d1", "node", "n"), "d1").where(F.size("keys") >= need)
-    live = stash(live.select("node", "n", "keys", F.array_min("keys").alias("label")), "live")
-    few = int(live.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0])
+    need = (1 + F.floor(F.ceil(F.col("n") * percent / 100) / SPARE)).cast("int")
+    often = held.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("often"))
+    enough = stash(held.join(classes.select("d1", "node", "n"), "d1").where(F.size("keys") >= need).select("node", "n", "keys"), "enough")
+    few = int(enough.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0])
+    # Two linked sets share `need` keys; so they share one that is not among the need - 1 most frequent of either.
+    ranked = enough.select("node", "n", F.explode("keys").alias("key")).join(often, "key").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "key")), asc=False).alias("k"))
+    rare = ranked.select("node", F.transform(F.slice("k", need, F.size("k")), lambda x: x["key"]).alias("rare"))
+    live = stash(enough.join(rare, "node").withColumn("label", F.array_min("rare")), "live", few)
     # Each key names the label that most of its classes have; each class takes the label that most of its keys name.
-    open_ = live.select("node", "label", F.explode("keys").alias("key"))
+    open_ = live.select("node", "label", F.explode("rare").alias("key"))
     hubs = open_.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("best")).select("key", F.col("best.label").alias("hub"))
     hubs = stash(hubs, "hubs", few)
     votes = open_.join(hubs, "key").groupBy("node", "hub").agg(F.count("*").alias("c"))
-    placed = live.drop("label").join(votes.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("best")), "node").select("node", "n", "keys", F.col("best.hub").alias("label"))
+    placed = live.drop("label").join(votes.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("best")), "node").select("node", "n", "keys", "rare", F.col("best.hub").alias("label"))
     placed = labelled = stash(placed, "labels", few)
     # Sets of one group are about as large as each other, so that its smallest one says much about what a link to it needs.
     placed = placed.withColumn("size", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int"))
@@ -332,28 +337,29 @@ def grouped_classes(scanned: DataFrame, buckets: int, classes: DataFrame, percen
     most = F.greatest(F.lit(GROUP_DOCS), ROOT * F.sqrt("docs"))
     sums = sums.select("label", "size", F.greatest(F.ceil(F.col("docs") / most), F.ceil(F.col("weight") / GROUP_SHINGLES)).alias("parts"))
     gid = F.xxhash64("label", "size", F.pmod(F.xxhash64("node"), F.col("parts")))
-    out = stash(placed.join(sums, ["label", "size"]).select("node", "n", gid.alias("gid"), "keys"), "groups", few)
-    discard(held, live, hubs, labelled)
+    out = stash(placed.join(sums, ["label", "size"]).select("node", "n", gid.alias("gid"), "keys", "rare"), "groups", few)
+    discard(held, enough, live, hubs, labelled)
     return out
 
 
 def qualifying_pairs(placed: DataFrame, percent: int) -> DataFrame:
     """ga < gb: pairs of groups of which some members may be linked, by the token-group matrix; and ga = gb for groups of two members or more.
 
-    A shared cell is a key that both unions have. Their number bounds the shared keys of any two members.
+    Groups meet under the keys that their members look up; how many keys their unions have in common bounds what any two members share.
     """
     few = int(placed.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0])
-    groups = stash(placed.groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("docs")), "sizes", few)
-    matrix = stash(placed.select("gid", F.explode("keys").alias("key")).distinct(), "matrix", few)
+    union = F.array_distinct(F.flatten(F.collect_list("keys")))  # of a group, whose size is bounded
+    groups = stash(placed.groupBy("gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("docs"), union.alias("keys")), "sizes", few)
+    matrix = stash(placed.select("gid", F.explode("rare").alias("key")).distinct(), "matrix", few)
     wide = matrix.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     matrix = matrix.join(wide, "key")
-    both = matrix.select("key", F.col("gid").alias("ga")).join(matrix.select("key", F.col("gid").alias("gb")), "key").where("ga < gb")
-    shared = both.groupBy("ga", "gb").agg(F.count("*").alias("c"))
-    a, b = (groups.select(F.col("gid").alias(f"g{x}"), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}")) for x in "ab")
+    met = matrix.select("key", F.col("gid").alias("ga")).join(matrix.select("key", F.col("gid").alias("gb")), "key").where("ga < gb").select("ga", "gb").distinct()
+    a, b = (groups.select(F.col("gid").alias(f"g{x}"), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"), F.col("keys").alias(f"keys_{x}")) for x in "ab")
+    c = F.size(F.array_intersect("keys_a", "keys_b"))
     # Of two linked sets the smaller one is at least percent of the larger one.
     smaller = F.greatest(F.least("lo_a", "lo_b"), F.ceil(F.greatest("lo_a", "lo_b") * percent / 100))
-    fits = (F.col("c") >= 1 + F.floor(smaller / SPARE)) & (F.col("hi_a") * 100 >= F.col("lo_b") * percent) & (F.col("hi_b") * 100 >= F.col("lo_a") * percent)
-    return stash(shared.join(a, "ga").join(b, "gb").where(fits).select("ga", "gb").union(groups.where("docs > 1").select("gid", "gid")), "pairs", few)
+    fits = (c >= 1 + F.floor(smaller / SPARE)) & (F.col("hi_a") * 100 >= F.col("lo_b") * percent) & (F.col("hi_b") * 100 >= F.col("lo_a") * percent)
+    return stash(met.join(a, "ga").join(b, "gb").where(fits).select("ga", "gb").union(groups.where("docs > 1").select("gid", "gid")), "pairs", few)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
