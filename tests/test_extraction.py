@@ -282,3 +282,23 @@ def test_escalation(spark, grid, found):
 
 def test_loose_blocks_are_tables(spark, grid):
     assert {r.sheet for r in Q.loose_blocks(grid, detect_tables(grid)).collect()} == {"dropped"}
+
+
+def test_workbook_source(spark, tmp_path):
+    from tessella.plans import fixtures as X
+    from tessella.sources import workbook as W
+
+    (tmp_path / "one.xlsx").write_bytes(W.workbook_bytes({"zeta": SALES, "alpha": SHEETS["dropped"]}, {("zeta", 2, 4): "=B2*C2"}, {"zeta": ["A1:B1"]}))
+    with open(tmp_path / "two.xlsx", "wb") as out:
+        rows = X.ledger(spark, 500).orderBy("n")
+        W.stream_workbook(out, {"Ledger": ([*x] for part in ([rows.columns], rows.toLocalIterator()) for x in part)})
+    (tmp_path / "bad.xlsx").write_bytes(b"no workbook")
+    W.register(spark)
+    grid = spark.read.format("workbookgrid").load(str(tmp_path))
+    plain = W.read_workbooks(spark, str(tmp_path))
+    assert grid.count() == plain.count() == 9 + 7 + 501 + 1
+    assert [(r.sheet, r.sheet_idx) for r in S.sheets(grid.where("workbook like '%one.xlsx'")).orderBy("sheet_idx").collect()] == [("zeta", 0), ("alpha", 1)]
+    assert grid.where("sheet = 'alpha'").count() == 7 == spark.read.format("workbookgrid").option("sheet", "alpha").load(str(tmp_path / "one.xlsx")).count()
+    done = extract(S.as_grid(spark, {"main": str(tmp_path)}))
+    assert {r.table_id: r.passed for r in done.report().collect()} == {"Ledger__0": True, "alpha__1": True, "zeta__0": True}
+    assert [r.message.rsplit("/", 1)[-1] for r in done.findings.where("scope = 'workbook'").collect()] == ["bad.xlsx"]
