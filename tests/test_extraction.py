@@ -142,16 +142,14 @@ def test_bands_that_disagree(spark):
 def test_layouts(spark):
     sheets = {"two": SHEETS["dropped"], "turned": [["Month", "Jan", "Feb", "Mar"], ["Revenue", 1, 2, 3], ["Cost", 4, 5, 6]], "plain": SALES}
     grid = S.grid_from_lists(spark, sheets)
-    base = extract(grid)
-    assert all(r.orientation == "vertical" for r in base.handles.collect())
     more = extract(grid, Config(lenses=("vertical", "blocks")))
     assert sorted(r.table_id for r in more.handles.where("sheet = 'two'").collect()) == ["two__2_0", "two__2_1"]
     assert more.findings.where("sheet = 'two' and severity = 'error'").count() == 0
     with pytest.raises(KeyError):
         extract(grid, Config(lenses=("vertical", "nobody")))
     N.register("broken", lambda g: 1 / 0)
-    hurt = extract(grid, Config(lenses=("vertical", "broken")))
-    assert {r.category for r in hurt.findings.where("sheet = 'plain'").collect()} == {"analyzer-error"}
+    hurt = N.analyse(grid, ("vertical", "broken"))
+    assert {(r.sheet, r.category) for r in hurt.findings.collect()} == {(s, "analyzer-error") for s in sheets}
     asked = []
 
     def choose(sheet, proposals):
@@ -218,11 +216,13 @@ def test_repairs_are_verified(spark, grid):
 def test_messy_tabs_and_header_checks(spark, grid):
     answer = {"confident": True, "header_row": 3, "region": "A3:B4", "columns": [{"name": "Key"}, {"name": "V", "dtype": "number"}]}
     part = grid.where("sheet = 'messy'")
-    for script, resolved in (([answer], True), ([{"confident": False}], False), ([{"confident": True}], False), ([], False)):
-        got = extract(part, client=P.ScriptedClient(script))
-        assert (got.findings.where("category = 'messy-tab'").count() == 0) == resolved
-        if resolved:
-            assert [(r.name, r.dtype, r.role) for r in got.columns.orderBy("pos").collect()] == [("Key", "string", "key"), ("V", "number", "value")]
+    got = extract(part, client=P.ScriptedClient([answer]))
+    assert got.findings.where("category = 'messy-tab'").count() == 0
+    assert [(r.name, r.dtype, r.role) for r in got.columns.orderBy("pos").collect()] == [("Key", "string", "key"), ("V", "number", "value")]
+    stub = T.region_handles(spark.createDataFrame([("m", "messy", 1, 1, 1, 1, 1, 1)], "table_id string, sheet string, header_row int, span int, min_row int, min_col int, max_row int, max_col int"))
+    for script in ([{"confident": False}], [{"confident": True}], []):
+        left, declared = R.resolve_messy(part, stub, P.ScriptedClient(script))
+        assert left.first().ambiguous and left.first().reason.startswith("the helper") and declared.isEmpty()
     columns = [{"name": "Key", "unit": None, "role": "key"}, {"name": "V", "unit": None, "role": "value"}]
     out, notes = R.verify_header(columns, P.ScriptedClient([{"columns": [{"name": "V", "unit": "USD", "role": "nonsense"}]}]))
     assert out[1] == {"name": "V", "unit": "USD", "role": "value"} and notes == []
