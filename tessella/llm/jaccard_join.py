@@ -451,6 +451,7 @@ def jaccard_join(documents: DataFrame, words: int = 5, percent: int = 80, doc_id
     named = named.select("d1", "d2", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     named = stash(named, "named")
     discard(found, classes)
-    out = scanned.select("doc_id", "n", "d1", "d2").join(sized_broadcast(named, named.count()), ["d1", "d2"], "left")
+    # As many classes as there are different texts: Spark picks the join by their size, and splits the rows of a class with many copies.
+    out = scanned.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
     known = F.col("doc_id").isNotNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce(F.when(known, F.col("n_links")), F.lit(0)).cast("long").alias("n_links"))
