@@ -313,14 +313,16 @@ def verify_labels(labels: DataFrame, grid: DataFrame) -> DataFrame:
     return out.withColumn("ok", F.coalesce("ok", F.lit(False)))
 
 
-def reconcile(ledger: DataFrame, keys: list[str], sums: dict[str, str], declared: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+def reconcile(ledger: DataFrame, keys: list[str], sums: dict[str, str], declared: DataFrame, tolerance: float = 1e-9, most: float | None = None) -> DataFrame:
     """Groups whose declared totals differ from the ledger's, or are missing: keys, measure, live, declared.
 
-    sums: measure -> column of the ledger; declared: keys, measure, declared.
+    sums: measure -> column of the ledger; declared: keys, measure, declared. The tolerance grows with the total; most is the largest difference
+    that passes however large the total is (half a cent, for totals rounded to cents).
     """
     live = ledger.groupBy(*keys).agg(*(F.sum(c).cast("double").alias(m) for m, c in sums.items())).unpivot(keys, list(sums), "measure", "live")
     both = live.join(declared, [*keys, "measure"], "left")
-    return both.where(~values_match(F.col("live"), F.col("declared"), tolerance))
+    same = values_match(F.col("live"), F.col("declared"), tolerance)
+    return both.where(~(same if most is None else same & (F.abs(F.col("live") - F.col("declared")) <= most)))
 
 
 ADAPTERS: dict[str, Callable[[DataFrame], Adapter]] = {"engine": engine_adapter, "oracle": oracle_adapter, "noisy": noisy_adapter}

@@ -62,6 +62,27 @@ def test_reconcile(spark):
     assert got == {("a", "n"): (5.0, 6.0), ("b", "n"): (1.0, None)}
 
 
+def test_reconcile_large_totals(spark):
+    """Five off in billions is less than the relative tolerance, and still a difference of a ledger kept in cents."""
+    ledger = spark.createDataFrame([("a", 6e9), ("b", 6e9), ("c", None)], "region string, amount double")
+    declared = spark.createDataFrame([("a", "amount", 6e9 + 5), ("b", "amount", 6e9), ("c", "amount", 1.0)], "region string, measure string, declared double")
+    asked = (ledger, ["region"], {"amount": "amount"}, declared)
+    assert {r.region for r in V.reconcile(*asked).collect()} == {"c"}
+    assert {r.region: r.declared for r in V.reconcile(*asked, most=0.005).collect()} == {"a": 6e9 + 5, "c": 1.0}
+
+
+def test_reconcile_summary_of_a_large_ledger(spark, sf_dir, tmp_path):
+    """q47 over prices a million times as large."""
+    from tessella.plans.catalogue import QUERIES
+
+    for name in ("lineitem", "orders", "customer", "nation", "region"):
+        frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        frame = frame.withColumn("l_extendedprice", F.col("l_extendedprice") * 1000000) if name == "lineitem" else frame
+        frame.write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = QUERIES["q47_reconcile_summary"](spark, str(tmp_path)).collect()
+    assert {r.region for r in got} == {"ASIA", "EUROPE"} and all(abs(r.declared - r.amount - 5) < 0.01 for r in got)
+
+
 @pytest.mark.skipif(not os.path.isdir(CORPUS), reason="the label corpus is not here")
 def test_label_corpus(spark):
     """Published: boundaries 22/22, values 199/199, phrases 127/128, formulas 18/22 on 14 workbooks. Here all 17 label files, rebuilt from the labels."""
