@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.operators import detect as D
 from tessella.operators import findings as Q
 from tessella.operators import gate as G
 from tessella.operators import grid as S
@@ -302,3 +303,72 @@ def test_workbook_source(spark, tmp_path):
     done = extract(S.as_grid(spark, {"main": str(tmp_path)}))
     assert {r.table_id: r.passed for r in done.report().collect()} == {"Ledger__0": True, "alpha__1": True, "zeta__0": True}
     assert [r.message.rsplit("/", 1)[-1] for r in done.findings.where("scope = 'workbook'").collect()] == ["bad.xlsx"]
+
+
+class Shuffled:
+    """Rows that the stages run inside it write to shuffles; sides of more than a few KB are not broadcast meanwhile."""
+
+    def __init__(self, spark):
+        self.spark, self.name, self.rows = spark, "spark.sql.autoBroadcastJoinThreshold", 0
+
+    def _stages(self):
+        context = self.spark.sparkContext
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    def __enter__(self):
+        self.before, self.kept = self._stages(), self.spark.conf.get(self.name)
+        self.spark.conf.set(self.name, "16k")
+        return self
+
+    def __exit__(self, *_):
+        self.spark.conf.set(self.name, self.kept)
+        self.rows = sum(n for k, n in self._stages().items() if k not in self.before)
+
+
+LONG = 6000
+
+
+@pytest.fixture(scope="module")
+def long_sheet(spark):
+    k = F.col("id")
+    wide = spark.range(LONG).select(F.xxhash64(k).cast("string").alias("key"), *((F.xxhash64(k, F.lit(i)) % 1000000).alias(f"c{i}") for i in range(6)), "id")
+    return S.snapshot(S.grid_of(wide, "id", "long"))
+
+
+def test_extraction_keeps_a_long_table_in_place(spark, long_sheet):
+    """Detection, reading and the gate send fewer rows through shuffles than the sheet has cells."""
+    with Shuffled(spark) as seen:
+        report = extract(long_sheet).report().collect()
+    assert [(r.table_id, r.region, r.passed) for r in report] == [("long__0", f"A1:H{LONG + 1}", True)]
+    assert seen.rows < 8 * LONG
+
+
+def test_unmarked_places(spark):
+    """Gaps at the ends of the parts, in parts without any mark, and repeated marks."""
+    n = D.MARKED
+    sets = {"all": (3 * n, set(range(3 * n))), "last": (2 * n + 1, set(range(2 * n))), "edge": (3 * n, set(range(3 * n)) - {n - 1, n}), "hole": (5 * n + 7, {*range(10), 5 * n}), "none": (2, set()), "zero": (0, set())}
+    marks = spark.createDataFrame([(k, p) for k, (_, have) in sets.items() for p in [*have, *have]], "k string, place int")
+    spans = spark.createDataFrame([(k, length) for k, (length, _) in sets.items()], "k string, length int")
+    lost = {(r.k, r._b * n + i) for r in D.unmarked(marks, spans, ["k"]).collect() for i in r._free}
+    assert lost == {(k, p) for k, (length, have) in sets.items() for p in range(length) if p not in have}
+    assert {r.k: r.gap for r in D.first_unmarked(marks, spans, ["k"]).collect()} == {"last": 2 * n, "edge": n - 1, "hole": 10, "none": 0}
+
+
+def test_rows_that_the_grid_lacks(spark, long_sheet):
+    """A row without any cell ends the table for detection; a given region over it has a blank key there."""
+    gone = long_sheet.where("row <> 200")
+    assert [r.max_row for r in D.detect_tables(gone).collect()] == [199]
+    region = spark.createDataFrame([("t", "long", 1, 1, 1, 1, 300, 8)], "table_id string, sheet string, header_row int, span int, min_row int, min_col int, max_row int, max_col int")
+    tables = T.read_tables(gone, T.region_handles(region))
+    assert tables.rows.count() == 299 and [r.row for r in tables.rows.where("blank").collect()] == [200]
+
+
+def test_sampled_keys_of_a_long_table(spark):
+    """The stride's places among keys in the order of first sight, with gaps between their rows."""
+    index = spark.range(9001).select(F.lit("t").alias("table_id"), F.lit("s").alias("sheet"), F.col("id").cast("string").alias("key"), F.col("id").cast("string").alias("row_key"), F.lit(1).alias("row"), (F.col("id") * F.col("id") % 7 + F.col("id") * 7).alias("first"))
+    for size in (1, 2, 7, 300):
+        got = {(r.key, r.place) for r in G.sampled_keys(index, size, size).collect()}
+        assert got == {(str(p), p) for p in ({0, 9000} if size == 1 else {round(i * 9000 / (size - 1)) for i in range(size)})}
+    assert G.sampled_keys(index, 300, 9001).count() == 9001
