@@ -345,6 +345,17 @@ def test_extraction_keeps_a_long_table_in_place(spark, long_sheet):
     assert seen.rows < 8 * LONG
 
 
+def test_query_moves_the_asked_column_only(spark, long_sheet):
+    """Requests for one of eight columns of every row: the other columns' cells stay where they are."""
+    done = extract(long_sheet)
+    asked = S.snapshot(done.row_keys().select(F.lit("long").alias("sheet"), "row_key", F.lit("c3").alias("column_name")))
+    with Shuffled(spark) as seen:
+        got = done.query(asked).agg(F.count_if(F.col("status") == "ok").alias("n"), F.sum("cell.int").alias("sum")).first()
+    k = F.col("id")
+    assert got.n == LONG and got["sum"] == spark.range(LONG).agg(F.sum(F.xxhash64(k, F.lit(3)) % 1000000)).first()[0]
+    assert seen.rows < 6 * LONG
+
+
 def test_unmarked_places(spark):
     """Gaps at the ends of the parts, in parts without any mark, and repeated marks."""
     n = D.MARKED
